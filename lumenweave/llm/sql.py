@@ -79,4 +79,17 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, a
 FROM o GROUP BY rid, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_mixing_sources": OP5}
+OP10 = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest
+  FROM (SELECT DISTINCT h FROM p)),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p JOIN b USING (h) JOIN m USING (h)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_mixing_sources": OP5, "op10_warc": OP10}
