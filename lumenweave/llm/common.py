@@ -69,3 +69,11 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps; it does so when the driver's JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

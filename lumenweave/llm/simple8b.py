@@ -34,8 +34,14 @@ ESCAPE, ZEROS = 0, 1
 _HEAD = struct.Struct("<QQQQI4x")
 
 
+#: Bits of each 16-bit value.
+_SHORT = np.repeat(np.arange(17, dtype=np.uint8), [1, *(1 << b for b in range(16))])
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 0 for 0."""
+    if not len(values) or values.max() < 1 << 16:
+        return _SHORT[values.astype(np.uint16)]
     need = np.zeros(values.shape, np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         big = values >= (np.uint64(1) << np.uint64(shift))

@@ -2,7 +2,9 @@
 
 White space always ends a token of the two tokenizers in use, so a text's ids
 are those of its pieces put together.  Pieces recur; each is encoded once a
-worker.  Texts with white space other than space, tab, newline and carriage
+worker.  A piece of Latin letters and closing marks, which is one or two
+pre-tokens, goes straight to the tokenizer's model; all others go through its
+whole chain.  Texts with white space other than space, tab, newline and carriage
 return are encoded in one go, where pieces might not meet the tokenizer's own.
 """
 
@@ -10,42 +12,70 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
-#: White space that is not cut at, by any of the definitions in play.
-_ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Space goes with the word after it, or is dropped.
-_PIECES = {True: re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+"), False: re.compile(r"[^ \n\t\r]+")}
+#: White space that is not cut at, by any of the definitions in play; and letters whose lower case depends on context.
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: With space that goes with the word after it.
+_PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_CLOSING = ".,!?;:"
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-class Encoder:
-    """``keep_space``: whether the tokenizer's ids depend on white space (byte-level) or not."""
+def byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+class Encoder(dict):
+    """Piece -> ids as bytes.  ``keep_space``: byte-level with spaces, or else lower case without them."""
 
     #: Pieces remembered before the memo starts anew; bounds a worker's memory.
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __init__(self, path: str, keep_space: bool):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _PIECES[keep_space].findall
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.keep_space = Tokenizer.from_file(path), keep_space
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _token(self, text: str) -> list[int]:
+        if not text.isascii() or text[0] == " ":
+            letters = self.letters
+            text = "".join([letters[b] for b in text.encode()])
+        return [x.id for x in self.model.tokenize(text)]
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece[1:] if self.keep_space and piece[0] == " " else piece
+        body = word.rstrip(_CLOSING)
+        if body.isalpha() and max(body) < "\u0250" and (body.isascii() or unicodedata.is_normalized("NFC", body)):
+            ids = self._token(piece[: len(piece) - len(word) + len(body)])
+            if len(body) < len(word):
+                ids += self._token(word[len(body) :])
+            out = array("I", ids).tobytes()
+        else:
+            out = self._whole(piece)
+        self[piece] = out
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [None if _ODD_SPACE.search(x) else self.pieces(x) for x in texts]
-        if len(self.memo) > self.LIMIT:
-            self.memo.clear()
-        new = set().union(*(x for x in cut if x is not None)).difference(self.memo)
-        self.memo.update(zip(new, self._ids(list(new)), strict=True))
-        get = self.memo.__getitem__
-        return [self._ids([text])[0] if x is None else b"".join(map(get, x)) for x, text in zip(cut, texts, strict=True)]
+        if len(self) > self.LIMIT:
+            self.clear()
+        get = self.__getitem__
+        if self.keep_space:
+            return [self._whole(x) if _ODD.search(x) else b"".join(map(get, _PIECES.findall(x))) for x in texts]
+        return [self._whole(x) if _ODD.search(x) else b"".join(map(get, x.lower().split())) for x in texts]
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
