@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 
 #: White space that is not cut at, by any of the definitions in play; and letters whose lower case depends on context.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: With space that goes with the word after it.
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_CLOSING = ".,!?;:"
+#: Where cutting before each space or newline would cut a token: white space of three, or of two at the end, tabs and the like.
+_RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z|[\t\r\0]")
+#: Latin letters, none of which is a mark or composes with another, perhaps after a newline, then closing marks: a pre-token each.
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,!?;:]*)").fullmatch
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -44,24 +46,21 @@ class Encoder(dict):
 
         self.tokenizer, self.keep_space = Tokenizer.from_file(path), keep_space
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.letters = "".join(byte_letters())
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _token(self, text: str) -> list[int]:
-        if not text.isascii() or text[0] == " ":
-            letters = self.letters
-            text = "".join([letters[b] for b in text.encode()])
-        return [x.id for x in self.model.tokenize(text)]
-
     def __missing__(self, piece: str) -> bytes:
-        word = piece[1:] if self.keep_space and piece[0] == " " else piece
-        body = word.rstrip(_CLOSING)
-        if body.isalpha() and max(body) < "\u0250" and (body.isascii() or unicodedata.is_normalized("NFC", body)):
-            ids = self._token(piece[: len(piece) - len(word) + len(body)])
-            if len(body) < len(word):
-                ids += self._token(word[len(body) :])
+        plain = _PLAIN(piece)
+        if plain and (self.keep_space or piece[0] not in " \n"):
+            newline, word, closing = plain.groups()
+            # Byte-level vocabularies write each byte of UTF-8 as a letter.
+            ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            if newline:
+                ids[:0] = [x.id for x in self.model.tokenize(self.letters[10])]
+            if closing:
+                ids += [x.id for x in self.model.tokenize(closing)]
             out = array("I", ids).tobytes()
         else:
             out = self._whole(piece)
@@ -73,9 +72,14 @@ class Encoder(dict):
         if len(self) > self.LIMIT:
             self.clear()
         get = self.__getitem__
-        if self.keep_space:
-            return [self._whole(x) if _ODD.search(x) else b"".join(map(get, _PIECES.findall(x))) for x in texts]
-        return [self._whole(x) if _ODD.search(x) else b"".join(map(get, x.lower().split())) for x in texts]
+        return [self._whole(x) if _ODD.search(x) else b"".join(map(get, self._cut(x))) for x in texts]
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.keep_space:
+            return text.lower().split()
+        if _RUNS.search(text):
+            return _PIECES.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
