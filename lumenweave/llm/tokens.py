@@ -55,12 +55,11 @@ class Encoder(dict):
         plain = _PLAIN(piece)
         if plain and (self.keep_space or piece[0] not in " \n"):
             newline, word, closing = plain.groups()
+            if newline or closing:
+                out = self[piece] = (self[newline] if newline else b"") + self[word] + (self[closing] if closing else b"")
+                return out
             # Byte-level vocabularies write each byte of UTF-8 as a letter.
             ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            if newline:
-                ids[:0] = [x.id for x in self.model.tokenize(self.letters[10])]
-            if closing:
-                ids += [x.id for x in self.model.tokenize(closing)]
             out = array("I", ids).tobytes()
         else:
             out = self._whole(piece)

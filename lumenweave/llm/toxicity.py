@@ -27,13 +27,15 @@ from .tokens import slices
 REPORTING = frozenset("said says say wrote writes quote quoted quotes called calls calling reported allegedly insult insults slur slurs word words term terms".split())
 QUOTES = "\"“”«»„‘’`"
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”«»„‘’…–—¡¿"
+#: Ends the name of a term that is a stem; no word ends in it.
+STEM = "\n"
 
 
 @dataclass(frozen=True)
 class ToxicSpec:
     """``max_train`` bounds the labelled documents that are fitted on; ``min_gain`` is a term's least G statistic."""
 
-    max_train: int = 20_000
+    max_train: int = 8_000
     min_gain: float = 28.0
     min_log_odds: float = 3.0
     max_terms: int = 400
@@ -51,7 +53,9 @@ class Lexicon:
         self.stems = {t: w for (t, stem), w in terms.items() if stem}
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.trie: dict = {}
-        self.halves: tuple[set, set] = (set(), set())
+        # A word near a term keeps a half of it at that end, or the halves' middle is swapped; and few letters differ.
+        self.heads: dict[str, list[tuple[int, int]]] = {}
+        self.tails: dict[str, list[tuple[int, int]]] = {}
         for (text, stem), _ in terms.items():
             if stem or len(text) < spec.min_fuzzy or (text, stem) in no_fuzzy:
                 continue
@@ -59,16 +63,23 @@ class Lexicon:
             for c in text:
                 node = node.setdefault(c, {})
             node[None] = (text, False)
-            # With one edit either half stays whole at its end of the word, or the halves' middle is swapped.
             m = len(text) // 2
             for t in (text, text[: m - 1] + text[m] + text[m - 1] + text[m + 1 :]):
-                self.halves[0].add(t[:m])
-                self.halves[1].add(t[m:])
-        self.half_sizes = tuple(sorted({len(h) for h in side}) for side in self.halves)
-        self.memo: dict[str, tuple | None] = {}
+                self.heads.setdefault(t[:m], []).append((len(text), _letters(text)))
+                self.tails.setdefault(t[m:], []).append((len(text), _letters(text)))
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(h) for h in self.tails})
+        self.memo = _Memo(self._find)
 
     def _may_be_near(self, word: str) -> bool:
-        return any(word[:n] in self.halves[0] for n in self.half_sizes[0]) or any(word[-n:] in self.halves[1] for n in self.half_sizes[1])
+        n, letters = len(word), 0
+        for side, sizes, part in ((self.heads, self.head_sizes, lambda k: word[:k]), (self.tails, self.tail_sizes, lambda k: word[-k:])):
+            for k in sizes:
+                for size, own in side.get(part(k), ()):
+                    if -2 < n - size < 2:
+                        letters = letters or _letters(word)
+                        if (letters ^ own).bit_count() <= 2:
+                            return True
+        return False
 
     def near(self, word: str, most: int = 1) -> tuple[str, bool] | None:
         """The term of least distance within ``most`` edits, by walking the trie along the automaton."""
@@ -92,26 +103,47 @@ class Lexicon:
         return best[1:] if best and best[0] <= most else None
 
     def find(self, word: str) -> tuple[tuple[str, bool], bool] | None:
-        """(term, exact) of a word, or None."""
-        try:
-            return self.memo[word]
-        except KeyError:
-            pass
-        found = None
+        """(term, exact) of a word as it stands in a text, marks at its ends left aside; or None."""
+        return self.memo[word]
+
+    def _find(self, word: str) -> tuple[tuple[str, bool], bool] | None:
+        return self._find_plain(word if word.isalnum() else word.strip(_STRIP))
+
+    def _find_plain(self, word: str) -> tuple[tuple[str, bool], bool] | None:
         if word in self.words:
-            found = ((word, False), True)
-        else:
-            stem = next((word[:n] for n in self.stem_sizes if word[:n] in self.stems), None)
-            if stem:
-                found = ((stem, True), True)
-            elif self.trie and self._may_be_near(word) and (near := self.near(word)):
-                found = (near, False)
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        self.memo[word] = found
+            return (word, False), True
+        for n in self.stem_sizes:
+            if word[:n] in self.stems:
+                return (word[:n], True), True
+        if self.trie and self._may_be_near(word) and (near := self.near(word)):
+            return near, False
+        return None
+
+
+class _Memo(dict):
+    """A word's find, worked out once; starts anew when full, which bounds a worker's memory."""
+
+    LIMIT = 400_000
+
+    def __init__(self, find):
+        super().__init__()
+        self.work_out = find
+
+    def __missing__(self, word: str):
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = self.work_out(word)
         return found
 
 
+def _letters(word: str) -> int:
+    """A word's letters as a set of bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -119,13 +151,7 @@ def words_of(text: str) -> list[str]:
 def hits(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, tuple[str, bool], bool, bool, int]]]:
     """(number of words, hits): position, term, exact, quoted, further hits in the window."""
     raw = words_of(text)
-    find, found = lexicon.find, []
-    for i, w in enumerate(raw):
-        hit = find(w)
-        if hit is None and not w.isalnum():
-            hit = find(w.strip(_STRIP))
-        if hit:
-            found.append((i, *hit))
+    found = [(i, *hit) for i, hit in enumerate(map(lexicon.memo.__getitem__, raw)) if hit]
     if not found:
         return len(raw), []
     places = [i for i, _, _ in found]
@@ -206,35 +232,44 @@ def learn_lexicon(rows: DataFrame, spec: ToxicSpec) -> dict[tuple[str, bool], fl
     if not n_pos or not n_neg:
         return {}
 
-    def count(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w.strip(_STRIP) for w in words_of(text or "")}
-                terms = {(w, False) for w in words if len(w) > 2}
-                terms |= {(w[:n], True) for w in words for n in spec.stems if len(w) > n}
-                seen[toxic].update(terms)
-        some = [t for t in {*seen[0], *seen[1]}]
-        for at in range(0, len(some), 50_000):
-            part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part]), pa.array([s for _, s in part]), pa.array([seen[1][t] for t in part], pa.int64()), pa.array([seen[0][t] for t in part], pa.int64())], names=["term", "stem", "pos", "neg"])
-
-    counted = rows.select("text", "toxic").mapInArrow(count, "term string, stem boolean, pos long, neg long").groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    def count(wanted: frozenset | None):
+        """Documents with each term; with ``wanted``, of those terms only."""
+
+        def run(batches):
+            seen: Counter = Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    words = {w.strip(_STRIP) for w in words_of(text or "")}
+                    terms = {w for w in words if len(w) > 2}
+                    for n in spec.stems:
+                        terms.update([w[:n] + STEM for w in words if len(w) > n])
+                    seen.update(terms if wanted is None else terms & wanted)
+            some = list(seen.items())
+            for at in range(0, len(some), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some[at : at + 50_000]], t) for k, t in enumerate((pa.string(), pa.int64()))], names=["term", "n"])
+
+        return run
+
+    counted = lambda toxic, wanted: rows.filter(F.col("toxic") == toxic).select("text").mapInArrow(count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # A term in fewer toxic documents cannot reach the least gain; there are at most (terms in toxic texts) / least.
+    least = max(3, math.ceil(spec.min_gain / (2 * math.log((n_pos + n_neg) / n_pos))))
+    pos = {r["term"]: r["n"] for r in counted(1, None).filter(F.col("n") >= least).collect()}
+    neg = {r["term"]: r["n"] for r in counted(0, frozenset(pos)).collect()}
     share = n_pos / (n_pos + n_neg)
-    entropy = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    both = F.col("pos") + F.col("neg")
-    scored = counted.filter("pos >= 3").select(
-        "*",
-        (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))).alias("odds"),
-        (2 * (entropy(F.col("pos"), both * share) + entropy(F.col("neg"), both * (1 - share)))).alias("gain"),
-    )
-    best = scored.filter((F.col("odds") >= spec.min_log_odds) & (F.col("gain") >= spec.min_gain)).orderBy(F.desc("gain"), F.desc(F.length("term")), "term", "stem").limit(4 * spec.max_terms).collect()
+    entropy = lambda o, e: o * math.log(o / e) if o else 0.0
+    best = []
+    for term, p in pos.items():
+        n = neg.get(term, 0)
+        odds = math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
+        gain = 2 * (entropy(p, (p + n) * share) + entropy(n, (p + n) * (1 - share)))
+        if odds >= spec.min_log_odds and gain >= spec.min_gain:
+            best.append((-gain, -len(term.rstrip(STEM)), term, odds))
     chosen: dict[tuple[str, bool], float] = {}
-    for r in best:  # a term that a chosen one covers adds nothing
-        term, stem = r["term"], r["stem"]
+    for _, _, name, odds in sorted(best):  # a term that a chosen one covers adds nothing
+        term, stem = name.rstrip(STEM), name.endswith(STEM)
         if any((s and term.startswith(t)) or (stem and t.startswith(term)) or t == term for t, s in chosen):
             continue
-        chosen[term, stem] = min(8.0, r["odds"])
+        chosen[term, stem] = min(8.0, odds)
         if len(chosen) == spec.max_terms:
             break
     return chosen
