@@ -37,7 +37,7 @@ class Encoder(dict):
     """Piece -> ids as bytes.  ``keep_space``: byte-level with spaces, or else lower case without them."""
 
     #: Pieces remembered before the memo starts anew; bounds a worker's memory.
-    LIMIT = 400_000
+    LIMIT = 600_000
 
     def __init__(self, path: str, keep_space: bool):
         super().__init__()
