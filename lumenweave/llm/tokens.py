@@ -18,8 +18,8 @@ from array import array
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: With space that goes with the word after it.
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Where cutting before each space or newline would cut a token: white space of three, or of two at the end, tabs and the like.
-_RUNS = re.compile(r"[ \n]{3}|[ \n]{2}\Z|[\t\r\0]")
+#: Where cutting before each space or newline might cut a token: white space that is not alone, tabs and the like.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0")
 #: Latin letters, none of which is a mark or composes with another, perhaps after a newline, then closing marks: a pre-token each.
 _PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,!?;:]*)").fullmatch
 
@@ -76,7 +76,7 @@ class Encoder(dict):
     def _cut(self, text: str) -> list[str]:
         if not self.keep_space:
             return text.lower().split()
-        if _RUNS.search(text):
+        if any(run in text for run in _RUNS):
             return _PIECES.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
