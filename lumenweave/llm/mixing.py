@@ -100,7 +100,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
     queued = materialize(_queued(sized, targets, spec), "mix-queue")
     budget = (targets.agg(F.sum("source_size")).first()[0] or 0) * spec.budget
     epochs = F.explode(F.sequence(F.lit(0), F.lit(spec.max_repeats - 1)))
-    copies = queued.withColumn("epoch", epochs).withColumn("finish", F.coalesce((F.col("epoch") * F.col("source_size") + F.col("cum")) / F.col("target"), F.lit(0.0)))
+    copies = queued.withColumn("epoch", epochs).withColumn("finish", F.coalesce(F.try_divide((F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double"), F.col("target")), F.lit(0.0)))
 
     def cut(rows: DataFrame, bin_of, room: float) -> tuple[int | None, float]:
         """The first bin in which the running total passes ``room``, and the room left before it."""
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
         stop = edge.filter(F.col("total") > room).orderBy(*in_order).select("finish", "source").first()
         earlier_source = F.col("source").isNotNull() if stop["source"] is None else F.coalesce(F.col("source") < F.lit(stop["source"]), F.lit(False))
         before_cut = (F.col("finish") < stop["finish"]) | ((F.col("finish") == stop["finish"]) & earlier_source)
-    finish = lambda e: F.coalesce((F.lit(e) * F.col("source_size") + F.col("cum")) / F.col("target"), F.lit(0.0))
+    finish = lambda e: F.coalesce(F.try_divide((F.lit(e) * F.col("source_size") + F.col("cum")).cast("double"), F.col("target")), F.lit(0.0))
     out = queued.withColumn("copies", F.lit(0))
     for e in range(spec.max_repeats):
         out = out.withColumn("finish", finish(e)).withColumn("copies", F.col("copies") + before_cut.cast("int"))
