@@ -32,19 +32,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(kept, same, "left_semi")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, a digest of all their columns: ids may repeat or be null, and then do not tell rows apart."""
+    return docs.withColumn("_row", F.xxhash64(*[F.col(c).isNull() for c in docs.columns], *docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least doc_id; of rows that repeat a doc_id one stays."""
-    groups = jaccard.join(docs)
-    least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    ids = groups.agg(F.count("*").alias("rows"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("ids")).first()
-    return kept if ids["rows"] == ids["ids"] else kept.dropDuplicates(["doc_id"])
+    """One document of each group stays, that of the least doc_id (null last) and then digest; blank texts are in no group and stay."""
+    keyed = _keyed(docs)
+    groups = materialize(jaccard.join(keyed, id_col="_row", count_links=False), "duplicate-groups")
+    grouped, blank = groups.filter("n_shingles > 0"), groups.filter("n_shingles = 0").select(F.col("doc_id").alias("k_row"))
+    ids = keyed.select(F.col("_row").alias("k_row"), F.col("doc_id").alias("k_id")).distinct()
+    named = grouped.select(F.col("doc_id").alias("k_row"), "component_id").distinct().join(ids, "k_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_row"))["k_row"].alias("k_row"))
+    kept = keyed.join(first.select("k_row"), F.col("_row") == F.col("k_row"), "left_semi")
+    rows = grouped.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("distinct")).first()
+    kept = kept if rows["rows"] == rows["distinct"] else kept.dropDuplicates(["_row"])
+    return kept.union(keyed.join(blank, F.col("_row") == F.col("k_row"), "left_semi")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    plan = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("k_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("k_id")))
+    keyed = _keyed(docs)
+    plan = mixing.mix(keyed, carry=("_row",)).filter("copies > 0").groupBy(F.col("_row").alias("k_row")).agg(F.max("copies").alias("copies"))
+    taken = keyed.join(plan, F.col("_row") == F.col("k_row"))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 

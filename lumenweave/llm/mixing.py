@@ -66,7 +66,7 @@ def source_targets(sized: DataFrame, spec: MixSpec) -> DataFrame:
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _queued(sized: DataFrame, targets: DataFrame, spec: MixSpec) -> DataFrame:
+def _queued(sized: DataFrame, targets: DataFrame, spec: MixSpec, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document with ``cum``, its source's words up to and including it."""
     keyed = sized.withColumn("key", F.md5(F.concat(F.lit(f"{spec.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     keyed = keyed.withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
@@ -76,28 +76,29 @@ def _queued(sized: DataFrame, targets: DataFrame, spec: MixSpec) -> DataFrame:
         .withColumn("offset", F.coalesce(F.sum("block_size").over(by_block), F.lit(0)))
         .select(F.col("source").alias("o_source"), F.col("block").alias("o_block"), "offset")
     )
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     return (
         keyed.withColumn("cum", F.sum("size").over(inside))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("block") == F.col("o_block")))
         .join(t, F.col("source").eqNullSafe(F.col("t_source")))
         .withColumn("cum", F.col("cum") + F.col("offset"))
-        .select("doc_id", "source", "size", "key", "source_size", "target", "cum")
+        .select("doc_id", "source", "size", "key", "source_size", "target", "cum", *carry)
     )
 
 
-def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, taken.
 
     One row per input row.  Null and empty texts have size 0, are taken and add
     nothing; a null source is a source of its own, ordered last; a null id is
     shuffled like the empty string.  Repeated rows are queued one after the
-    other, so each counts.  An empty table gives an empty result.
+    other, so each counts.  An empty table gives an empty result.  Columns in
+    ``carry`` come along, and order what id and size do not.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry), "mix-sizes")
     targets = materialize(source_targets(sized, spec), "mix-targets")
-    queued = materialize(_queued(sized, targets, spec), "mix-queue")
+    queued = materialize(_queued(sized, targets, spec, carry), "mix-queue")
     budget = (targets.agg(F.sum("source_size")).first()[0] or 0) * spec.budget
     epochs = F.explode(F.sequence(F.lit(0), F.lit(spec.max_repeats - 1)))
     copies = queued.withColumn("epoch", epochs).withColumn("finish", F.coalesce(F.try_divide((F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double"), F.col("target")), F.lit(0.0)))
@@ -125,4 +126,4 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
     out = queued.withColumn("copies", F.lit(0))
     for e in range(spec.max_repeats):
         out = out.withColumn("finish", finish(e)).withColumn("copies", F.col("copies") + before_cut.cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)

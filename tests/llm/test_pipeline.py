@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenweave.llm import jaccard, quality
+from lumenweave.llm import jaccard, mixing, quality
 from lumenweave.llm.common import materialize
 
 from .conftest import SF
@@ -43,3 +43,21 @@ def test_repeated_ids_and_empty_tables(spark, small_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_texts_under_one_id_or_none(spark, small_docs):
+    """Different texts under a repeated or null id are documents of their own, in both stages that look rows up."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, b + " more"), (None, c), (None, d), (None, d + " more"), (7, c), (8, None), (None, ""), (3, b + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], small_docs.schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert sum(got.values()) == 6 and got.keys() >= {(5, a), (3, b + " more"), (7, c), (8, None), (None, "")}
+    assert len(got.keys() & {(None, d), (None, d + " more")}) == 1
+    # The mixture looks rows up by the same key: a short and a long text under one id keep their own numbers of copies.
+    twice = spark.createDataFrame([(1, f"{x} " * n, "en", s, 1) for s in ("s0", "s1", "s2") for x in "abcdef" for n in (1, 90)], small_docs.schema)
+    plan = mixing.mix(twice.withColumn("k", F.concat("source", "text")), carry=("k",))
+    want = Counter({r.k: r.copies for r in plan.collect() if r.copies})
+    mixed = Counter(r.source + r.text for r in corpus_pipeline.mix_sources(spark, twice, SF).collect())
+    assert len(set(want.values())) > 1 or len(want) < 36
+    assert sum(mixed.values()) == sum(want.values())
