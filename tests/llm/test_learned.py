@@ -102,3 +102,9 @@ def test_bundle_is_the_sum_of_bound_trigrams():
         want += np.roll(space.letter(a), 2).astype(int) * np.roll(space.letter(b), 1) * space.letter(c)
     packed, counts, _ = space.grams("Ab  ab1ab")
     assert counts.sum() == len(codes) - 2 and np.array_equal(space.bundle(packed, counts), want)
+
+
+def test_toxicity_trains_on_all_of_some_thousands(spark):
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.lit("a text").alias("text"))
+    assert toxicity.training_rows(docs, labels, lambda c: F.lit(True), toxicity.ToxicSpec()).count() == 12_000
