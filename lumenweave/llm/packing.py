@@ -49,24 +49,25 @@ class Packer:
 
     def add(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> None:
         size, w = self.spec.window, self.spec.width
-        while (n := len(ids) // w) >= size:
-            self.emit([(doc_id, start, ids[: size * w], doc_tokens)])
-            start, ids = start + size, ids[size * w :]
-        while n := len(ids) // w:
-            at = bisect_left(self.rooms, (n, -1))
-            if at < len(self.rooms):
-                room, name = self.rooms.pop(at)
-                self._put(name, room - n, (doc_id, start, ids, doc_tokens))
+        at = 0  # bytes of ids that have been placed
+        while len(ids) - at >= size * w:
+            self.emit([(doc_id, start + at // w, ids[at : at + size * w], doc_tokens)])
+            at += size * w
+        while n := (len(ids) - at) // w:
+            best = bisect_left(self.rooms, (n, -1))
+            if best < len(self.rooms):
+                room, name = self.rooms.pop(best)
+                self._put(name, room - n, (doc_id, start + at // w, ids[at:], doc_tokens))
                 return
             if len(self.rooms) < self.spec.open_windows:
                 self.named += 1
                 self.windows[self.named] = []
-                self._put(self.named, size - n, (doc_id, start, ids, doc_tokens))
+                self._put(self.named, size - n, (doc_id, start + at // w, ids[at:], doc_tokens))
                 return
             room, name = self.rooms.pop(0)
             if room >= self.spec.min_piece:
-                self.windows[name].append((doc_id, start, ids[: room * w], doc_tokens))
-                start, ids = start + room, ids[room * w :]
+                self.windows[name].append((doc_id, start + at // w, ids[at : at + room * w], doc_tokens))
+                at += room * w
             self.emit(self.windows.pop(name))
 
     def _put(self, name: int, room: int, piece) -> None:
