@@ -9,8 +9,10 @@ notice with at most k insertions, deletions or substitutions and gives its span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,45 +59,49 @@ class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: tuple[Notice, ...] = NOTICES):
         import regex
 
-        self.phrases = [(p.split()[-1].encode(), re.compile(rb"(?<![^ ])" + b" +".join(map(re.escape, p.encode().split())) + rb"(?![^ ])"), label) for p, label in phrases.items()]
+        self.phrases = [(p.split()[-1].encode(), re.compile(rb"(?<![^ ])" + b" ".join(map(re.escape, p.encode().split())) + rb"(?![^ ])"), label) for p, label in phrases.items()]
         self.notices = [(n, pieces(n), regex.compile(rb"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(n.text.encode()), n.errors), regex.BESTMATCH)) for n in notices]
 
     def scan(self, text: str) -> dict:
         """n_words, places [(word, label)] of exact phrases, spans of notices, and their labels."""
-        folded = text.encode().translate(_FOLD)
-        words = folded.split()
-        places = []
+        words = text.encode().translate(_FOLD).split()
+        plain, places, spans = b" ".join(words), [], []
+        ends: list[np.ndarray] = []
+
+        def word_at(byte: int) -> int:
+            """The number of the word that begins at a byte."""
+            if not ends:
+                ends.append(np.flatnonzero(np.frombuffer(plain, np.uint8) == 32))
+            return int(np.searchsorted(ends[0], byte))
+
         for last, pattern, label in self.phrases:
-            if last in folded:
-                places += [(len(folded[: m.start()].split()), label) for m in pattern.finditer(folded)]
-        plain, spans = b" ".join(words), []
+            if last in plain:
+                places += [(word_at(m.start()), label) for m in pattern.finditer(plain)]
         for notice, parts, pattern in self.notices:
-            spans += self._near(plain, notice, parts, pattern)
+            spans += self._near(plain, notice, parts, pattern, word_at)
         return {"n_words": len(words), "places": sorted(places), "spans": spans}
 
-    def _near(self, plain: bytes, notice: Notice, parts, pattern) -> list[dict]:
-        size, windows = len(notice.text), []
+    def _near(self, plain: bytes, notice: Notice, parts, pattern, word_at) -> list[dict]:
+        size, windows = len(notice.text), set()
         for offset, part in parts:
             at = plain.find(part)
             while at >= 0:
-                windows.append((max(0, at - offset - notice.errors), at - offset + size + notice.errors))
+                # One more byte on either side lets the pattern see where words end.
+                windows.add((max(0, at - offset - notice.errors - 1), min(len(plain), at - offset + size + notice.errors + 1)))
                 at = plain.find(part, at + 1)
-        windows.sort()
-        merged = []
-        for a, b in windows:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        found = []
-        for a, b in merged:
-            # One more byte on either side lets the pattern see where words end.
-            for m in pattern.finditer(plain, max(0, a - 1), min(len(plain), b + 1)):
-                if not found or m.start() >= found[-1]["_end"]:
-                    text = m.group()
-                    first = len(plain[: m.start()].split())
-                    found.append({"label": notice.label, "notice": notice.text, "errors": sum(m.fuzzy_counts), "first_word": first, "last_word": first + len(text.split()) - 1, "found": text.decode(errors="replace"), "_end": m.end()})
-        return [{k: v for k, v in x.items() if k != "_end"} for x in found]
+        # Each seed's window is short and verified on its own; of finds that overlap, the one with the fewest errors stays.
+        found = {(sum(m.fuzzy_counts), m.start(), m.end()) for a, b in windows for m in pattern.finditer(plain, a, b)}
+        starts, kept = [], []
+        for errors, a, b in sorted(found):
+            i = bisect_left(starts, a)
+            if (i == 0 or kept[i - 1][1] <= a) and (i == len(starts) or b <= starts[i]):
+                starts.insert(i, a)
+                kept.insert(i, (a, b, errors))
+        spans = []
+        for a, b, errors in kept:
+            first, text = word_at(a), plain[a:b]
+            spans.append({"label": notice.label, "notice": notice.text, "errors": errors, "first_word": first, "last_word": first + len(text.split()) - 1, "found": text.decode(errors="replace")})
+        return spans
 
 
 _SPAN = pa.struct([("label", pa.string()), ("notice", pa.string()), ("errors", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("found", pa.string())])
