@@ -245,5 +245,6 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         }, schema)
                         start += int(ends[-1]) if len(ends) else 0
 
-    tasks = manifest.select("path", "n_bytes", "start", "part").repartition(F.col("part")).drop("part")
+    # A number that is asked for is kept: adaptive execution would put all the manifest's few rows into one task.
+    tasks = manifest.select("path", "n_bytes", "start", "part").repartition(max(1, manifest.count()), "part").drop("part")
     return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -37,14 +37,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def urn(page_id: int | None, serial: int = 0) -> str:
+def urn(page_id: int | None, serial: int) -> str:
     """A record's name; a null page id is left empty."""
     return f"<urn:page:{'' if page_id is None else page_id}:{serial}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: int = 0, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """A response, or with ``refers_to`` a revisit, whose block is the HTTP head alone."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response, or with ``refers_to`` a revisit, whose block is the HTTP head alone.
+
+    The payload has a part in the record's name, so that a repeated page id names different records; a
+    revisit and its response have the same payload.
+    """
     head = HTTP % len(payload)
+    serial = int.from_bytes(hashlib.sha1(payload).digest()[:8])
     block = head if refers_to is not None else head + payload
     named = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
@@ -57,7 +62,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        named += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to))]
+        named += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to, serial))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -227,6 +232,7 @@ def read_archives(manifest: DataFrame, chunk: int = 1 << 22) -> DataFrame:
         length = 0
         yield from _batches(rows(), pa.schema(list(columns.items())))
 
-    return manifest.select("path", "n_records", "n_bytes").repartition(F.col("path")).mapInArrow(
+    # A number that is asked for is kept: adaptive execution would put all the manifest's few rows into one task.
+    return manifest.select("path", "n_records", "n_bytes").repartition(max(1, manifest.count()), "path").mapInArrow(
         read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     )
