@@ -38,7 +38,8 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        # A damaged file fails the query instead of giving nulls.
+        F.when(F.col("error").isNull(), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.col("error")).cast("long")).alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), F.octet_length("payload") - 31, F.lit(32))).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),

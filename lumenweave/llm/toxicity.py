@@ -148,6 +148,32 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _opens(word: str) -> bool:
+    return word[0] in QUOTES
+
+
+def _closes(word: str) -> bool:
+    bare = word.rstrip(".,!?;:")
+    return bare[-1:] in QUOTES and bool(bare)
+
+
+def _between_marks(left: list[str], own: str, right: list[str]) -> bool:
+    """Whether a mark opened to the left of a word, or at it, is closed at the word or to its right, before another opens."""
+    is_open = False
+    for w in left:
+        is_open = (is_open or _opens(w)) and not (_closes(w) and (is_open or len(w.rstrip(".,!?;:")) > 1))
+    if not (is_open or _opens(own)):
+        return False
+    if _closes(own) and (is_open or len(own.rstrip(".,!?;:")) > 1):
+        return True
+    for w in right:
+        if _closes(w):
+            return True
+        if _opens(w):
+            return False
+    return False
+
+
 def hits(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, tuple[str, bool], bool, bool, int]]]:
     """(number of words, hits): position, term, exact, quoted, further hits in the window."""
     raw = words_of(text)
@@ -159,9 +185,7 @@ def hits(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, tuple[str, b
     for i, term, exact in found:
         around = raw[max(0, i - width) : i + width + 1]
         left, right = raw[max(0, i - width) : i], raw[i + 1 : i + 1 + width]
-        own = raw[i]
-        opened = any(w[0] in QUOTES for w in (*left, own)) and any(w.rstrip(".,!?;:")[-1:] in QUOTES and w.rstrip(".,!?;:") for w in (own, *right))
-        quoted = opened or any(w.strip(_STRIP) in REPORTING for w in around)
+        quoted = _between_marks(left, raw[i], right) or any(w.strip(_STRIP) in REPORTING for w in around)
         out.append((i, term, exact, quoted, sum(abs(p - i) <= width for p in places) - 1))
     return len(raw), out
 
@@ -222,7 +246,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable, spec: ToxicSpec) -
     n = known.count()
     if n > spec.max_train:
         known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(spec.max_train / n * (1 << 30)))
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame, spec: ToxicSpec) -> dict[tuple[str, bool], float]:
@@ -278,6 +302,8 @@ def learn_lexicon(rows: DataFrame, spec: ToxicSpec) -> dict[tuple[str, bool], fl
 def learn(docs: DataFrame, labels: DataFrame, usable, spec: ToxicSpec = ToxicSpec()) -> Model:
     """Fit the lexicon and the model on labelled documents that ``usable(column)`` admits.
 
+    Labels without a document or without a verdict teach nothing; of repeated labels of an id the greatest counts;
+    null texts are empty.  Further columns are not looked at.
     Without toxic or without harmless labels the lexicon is empty and the scores are the prior's.
     """
     rows = training_rows(docs, labels, usable, spec).cache()
