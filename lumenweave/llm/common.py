@@ -1,67 +1,21 @@
-"""Shared pieces: the cluster's shared folder, lineage cuts, text bounds."""
+"""Shared pieces: text bounds, tables, what workers keep, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, fresh_path
+from ..shared import written as materialize
+
+__all__ = ["SPACE", "SPACE_CHARS", "drop_path", "fresh_names", "fresh_path", "materialize", "table", "word_count", "worker_state"]
+
 #: What separates words in the contracts of several operators, as a Java regex class body.
 SPACE = r"\x20\x09-\x0D"
 #: The same six characters, for trim and translate.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Read from ``spark.checkpoint.dir``; a temporary folder is set up only where
-    the session has none (tests and single-machine runs).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        option = sc._jsc.sc().getCheckpointDir()
-        if option.isDefined():
-            found = option.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="lumenweave-")
-            sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lumenweave-{name}-{uuid.uuid4().hex}"
-    jvm, jsc = spark._jvm, spark._jsc
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts lineage: what is downstream survives lost executors without computing
-    this part again, and several consumers share one computation.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing reads any more."""
-    jvm, jsc = spark._jvm, spark._jsc
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lumenweave-" in root:
-            target = jvm.org.apache.hadoop.fs.Path(root)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.coalesce(F.expr("0") + F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
@@ -71,9 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps; it does so when the driver's JVM collects garbage."""
-    import gc
+_worker: dict = {}
 
-    gc.collect()
-    spark._jvm.System.gc()
+
+def worker_state(key, make):
+    """What a Python worker keeps from task to task, made by ``make``; whatever was kept under another key goes first.
+
+    Workers serve one operator after another, so that each operator's tables would else stay until the session ends.
+    """
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -7,7 +7,7 @@ prototype those of its training texts.  A text's language is the prototype of
 the greatest cosine.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .common import fresh_names, worker_state
 from .toxicity import id_remainder
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 7
@@ -29,7 +29,7 @@ class Space:
     LIMIT = 40_000
 
     def __init__(self):
-        self.table = np.zeros((1024, DIMENSIONS), np.int8)
+        self.table = np.zeros((self.LIMIT, DIMENSIONS), np.int8)  # pages that are never written take no memory
         self.letters: dict[int, np.ndarray] = {}
         self.at: dict[int, int] = {}
         self.codes = np.zeros(0x110000, np.uint32)
@@ -77,19 +77,14 @@ class Space:
                 self.table[row] = self.trigram(p)
             rows[i] = row
         out = np.zeros(DIMENSIONS, np.float32)
-        for a in range(0, len(rows), 4096):
-            out += counts[a : a + 4096].astype(np.float32) @ self.table[rows[a : a + 4096]].astype(np.float32)
+        for a in range(0, len(rows), 1024):
+            out += counts[a : a + 1024].astype(np.float32) @ self.table[rows[a : a + 1024]].astype(np.float32)
         return out
 
 
-_space: Space | None = None
-
-
 def space() -> Space:
     """This worker's vectors; they outlive the task."""
-    global _space
-    _space = _space or Space()
-    return _space
+    return worker_state("space", Space)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -125,7 +120,7 @@ def learn(docs: DataFrame, usable, max_per_language: int = 1500, id_col: str = "
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "vector": [v.astype("<f4").tobytes() for v in total.values()]})
 
-    def add(key, part: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         vector = np.sum([np.frombuffer(v, "<f4").astype(float) for v in part["vector"]], axis=0)
         return pd.DataFrame({"lang": [key[0]], "vector": [vector.astype("<f8").tobytes()]})
 
@@ -144,13 +139,13 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    kind = pa.struct([("lang_pred", pa.string()), ("lang_score", pa.float64())])
 
-    def run(batches):
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = space()
-        for batch in batches:
+        for batch in texts:
             preds, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch:
                 packed, counts, letters = own.grams(text.as_py() or "")
                 if not letters or not names:
                     preds.append(UNKNOWN)
@@ -160,12 +155,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best = int(np.argmax(cosines))
                 preds.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            arrays = [*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "lang_score"])
-
-    slim = docs.select(*kept, F.col(text_col).alias("__text"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{out}, lang_pred string, lang_score double")
+            yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
+
+    # Only the text goes to the Python worker; the other columns wait for its answer in the JVM.
+    identified = F.arrow_udf(found, "lang_pred string, lang_score double")
+    (name,) = fresh_names(docs, "found")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    out = docs.withColumn(name, identified(F.col(text_col)))
+    return out.select(*kept, F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.lang_score").alias("lang_score"))
 
 
 def not_held_out(column: str):

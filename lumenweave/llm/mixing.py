@@ -68,7 +68,7 @@ def source_targets(sized: DataFrame, spec: MixSpec) -> DataFrame:
 
 def _queued(sized: DataFrame, targets: DataFrame, spec: MixSpec, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document with ``cum``, its source's words up to and including it."""
-    keyed = sized.withColumn("key", F.md5(F.concat(F.lit(f"{spec.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    keyed = sized.withColumn("key", F.md5(F.concat(F.lit(f"{spec.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("nameless")))))
     keyed = keyed.withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
     by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -92,11 +92,12 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
 
     One row per input row.  Null and empty texts have size 0, are taken and add
     nothing; a null source is a source of its own, ordered last; a null id is
-    shuffled like the empty string.  Repeated rows are queued one after the
+    shuffled by its text's hash.  Repeated rows are queued one after the
     other, so each counts.  An empty table gives an empty result.  Columns in
     ``carry`` come along, and order what id and size do not.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry), "mix-sizes")
+    nameless = F.when(F.col(id_col).isNull(), F.xxhash64(text_col).cast("string"))
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), nameless.alias("nameless"), *carry), "mix-sizes")
     targets = materialize(source_targets(sized, spec), "mix-targets")
     queued = materialize(_queued(sized, targets, spec, carry), "mix-queue")
     budget = (targets.agg(F.sum("source_size")).first()[0] or 0) * spec.budget

@@ -100,7 +100,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, add, lambda a: a["s"])
 
 
-def cutoffs(labelled: DataFrame, spec: QualitySpec, strata_rules: int | None = None) -> DataFrame:
+def cutoffs(labelled: DataFrame, spec: QualitySpec) -> DataFrame:
     """stratum, rule, cutoff from labelled good documents (stratum and measures), for proven cutoffs only.
 
     Each good document is counted once in the grid cell of each measure, before
@@ -126,24 +126,30 @@ def cutoffs(labelled: DataFrame, spec: QualitySpec, strata_rules: int | None = N
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per input row: doc_id, text_hash, counts, base_failed, rejected_by, kept.
+#: Strata whose cutoffs go to the tasks as a broadcast; those of more are joined by a shuffle.
+MOST_STRATA = 10_000
+
+
+def judge(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, counts, base_failed, rejected_by, kept; with ``carry`` also ``row``, a struct of the input's columns.
 
     Null and empty texts have no words and fail the base rules; a null stratum
     is a stratum of its own; repeated rows are judged alike; an empty table
     gives an empty result; without labels only the base rules reject.  The
     holdout is the labelled documents of quality 1 that pass the base rules.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    counted = counts(slim).withColumn("text_hash", F.xxhash64("text")).drop("text").withColumn("base_failed", base_failed(spec))
+    carried = [F.struct(*docs.columns).alias("row")] if carry else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"), *carried)
+    counted = counts(slim).drop("text").withColumn("base_failed", base_failed(spec))
     table = materialize(measured(counted, spec), "quality")
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("label_id")).distinct()
     holdout = table.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("label_id"), "left_semi")
-    found = cutoffs(holdout, spec).groupBy("stratum").pivot("rule", list(spec.rules)).agg(F.min("cutoff"))
-    found = found.select(F.col("stratum").alias("c_stratum"), *[F.col(r).alias(f"c_{r}") for r in spec.rules])
+    found = cutoffs(holdout.select("stratum", *[f"m_{r}" for r in spec.rules]), spec).groupBy("stratum").pivot("rule", list(spec.rules)).agg(F.min("cutoff"))
+    found = materialize(found.select(F.col("stratum").alias("c_stratum"), *[F.col(r).alias(f"c_{r}") for r in spec.rules]), "cutoffs")
+    found = F.broadcast(found) if found.count() <= MOST_STRATA else found
     judged = table.join(found, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
     over = F.array_compact(F.array(*[F.when(F.col(f"m_{r}") >= F.col(f"c_{r}"), F.lit(r)) for r in spec.rules]))
     kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
     return judged.withColumn("rejected_by", over).withColumn("kept", kept).select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "rejected_by", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "rejected_by", "kept", *(["row"] if carry else [])
     )

@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from .common import worker_state
+
 #: White space that is not cut at, by any of the definitions in play; and letters whose lower case depends on context.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: With space that goes with the word after it.
@@ -23,8 +25,6 @@ _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0")
 #: Latin letters, none of which is a mark or composes with another, perhaps after a newline, then closing marks: a pre-token each.
 _PLAIN = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,!?;:]*)").fullmatch
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
 
 def byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else one from U+0100 on."""
@@ -83,9 +83,7 @@ class Encoder(dict):
 
 def encoder(path: str, keep_space: bool) -> Encoder:
     """This worker's encoder; it outlives the task, and its memo with it."""
-    if (path, keep_space) not in _encoders:
-        _encoders[path, keep_space] = Encoder(path, keep_space)
-    return _encoders[path, keep_space]
+    return worker_state((path, keep_space), lambda: Encoder(path, keep_space))
 
 
 def slices(batch, most_rows: int = 256, most_chars: int = 1 << 21):

@@ -1,6 +1,8 @@
 """Token-id files, packing, media columns and archives: exact round trips and brute-force answers."""
 
 import hashlib
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,3 +290,59 @@ def test_exact_phrases(request, which):
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == want
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in rows)
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_notices_near_a_better_one_and_long_texts():
+    found = licences.Scanner().scan("the gnu genral public license gnu general public license here")["spans"]
+    assert [(s["first_word"], s["errors"]) for s in found if s["label"] == "gpl"] == [(1, 1), (5, 0)]
+    scanner, took = licences.Scanner(), []
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        got = scanner.scan("released under the mit license " * n)
+        took.append(time.process_time() - began)
+        assert len(got["places"]) == n and sum(s["notice"] == "released under the mit license" for s in got["spans"]) == n
+        assert got["places"][-1][0] == 5 * n - 2
+    assert took[1] < 24 * max(took[0], 0.05)
+
+
+def test_packing_a_long_document():
+    out, took = [], []
+    for n in (1 << 20, 1 << 23):
+        out.clear()
+        packer = packing.Packer(packing.PackSpec(), out.append)
+        packer.add(1, 0, bytes(400), 100)
+        began = time.process_time()
+        packer.add(2, 0, bytes(4 * n + 40), n + 10)
+        took.append(time.process_time() - began)
+        packer.finish()
+        pieces = sorted((p[1], len(p[2]) // 4) for window in out for p in window if p[0] == 2)
+        assert all(a + k == b for (a, k), (b, _) in zip(pieces, pieces[1:], strict=False)) and sum(k for _, k in pieces) == n + 10
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_files_are_read_in_parallel(spark, small_docs):
+    """Few rows of a manifest are many files: adaptive execution must not put them into one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = simple8b.write_ids(small_docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.count()
+    tasks = simple8b.read_ids(manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert files > 4 and tasks > files / 3
+    pages = spark.range(64).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    manifest = warc.write_archives(pages.filter("page_id < 8"))
+    for k in range(1, 8):
+        manifest = manifest.union(warc.write_archives(pages.filter(F.col("page_id").between(8 * k, 8 * k + 7))))
+    files, tasks = manifest.count(), warc.read_archives(manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert files >= 8 and tasks > files / 3
+
+
+def test_repeated_page_ids_name_different_records(spark):
+    names = [re.search(rb"WARC-Record-ID: (.*)\r", warc.make_record(5, "u", p, None))[1] for p in (b"a", b"b")]
+    assert names[0] != names[1]
+    assert re.search(rb"WARC-Refers-To: (.*)\r", warc.make_record(3, "u", b"a", 5))[1] == names[0]
+
+
+def test_damaged_media_fail_the_query(spark, monkeypatch):
+    monkeypatch.setattr(ogg, "to_media", lambda docs: docs.select("doc_id", F.lit(b"no media").alias("media")))
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION|no media|Ogg|page"):
+        queries.op4_media_columns(spark, SF).collect()

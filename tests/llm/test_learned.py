@@ -108,3 +108,49 @@ def test_toxicity_trains_on_all_of_some_thousands(spark):
     labels = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     docs = labels.select("doc_id", F.lit("a text").alias("text"))
     assert toxicity.training_rows(docs, labels, lambda c: F.lit(True), toxicity.ToxicSpec()).count() == 12_000
+
+
+def test_marks_are_paired():
+    quoted = lambda text: [h[3] for h in toxicity.hits(text, LEX)[1]]
+    assert quoted('"you idiot," they shouted') == [True]
+    assert quoted('that "good" idiot has a "day"') == [False]
+    assert quoted('"idiot" and clown') == [True, False]
+    assert quoted('" idiot "') == [True]
+    assert quoted('idiot "fine"') == [False]
+
+
+def test_toxicity_with_clashing_columns(spark, sf01):
+    docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
+    every = lambda c: F.lit(True)
+    plain = toxicity.learn(docs, labels, every)
+    clash = toxicity.learn(docs.withColumn("toxic", F.lit("x")).withColumn("label_id", F.lit("y")), labels, every)
+    assert plain.lexicon.terms == clash.lexicon.terms and np.allclose(plain.weights, clash.weights)
+
+
+def test_toxicity_precision_and_recall(spark, sf01):
+    """A constant answer has an accuracy of 0.87: what is found must be toxic, and what is toxic found."""
+    labels = spark.read.parquet(f"{sf01}/labels.parquet").select("doc_id", F.col("toxic").alias("truth"))
+    rows = queries.op2_toxicity(spark, sf01).filter("held_out").join(labels, "doc_id").collect()
+    hit = sum(r.predicted and r.truth == 1 for r in rows)
+    assert hit > 0.9 * sum(r.predicted for r in rows) and hit > 0.7 * sum(r.truth == 1 for r in rows)
+
+
+def brute_language(text, prototypes):
+    """Every letter's, trigram's and text's vector worked out anew."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+    codes = [c for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]]
+    letter = lambda c: 2.0 * np.random.default_rng([language.SEED, c]).integers(0, 2, language.DIMENSIONS, dtype=np.int8) - 1
+    total = sum(np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+    cosines = {lang: float(total @ p) / np.linalg.norm(total) for lang, p in prototypes.items()}
+    best = max(sorted(cosines), key=cosines.get)
+    return best, max(0.0, cosines[best])
+
+
+def test_language_against_brute_force(spark, small_docs, edge_docs):
+    prototypes = language.learn(small_docs, language.not_held_out)
+    some = small_docs.filter("length(text) < 1500").orderBy("doc_id").limit(25).select("doc_id", "text").union(edge_docs.filter("length(text) < 1000 OR text IS NULL").select("doc_id", "text"))
+    for r in language.identify(some, prototypes).collect():
+        lang, score = brute_language(r.text, prototypes)
+        assert r.lang_pred == lang and abs(r.lang_score - score) < 1e-4

@@ -61,3 +61,22 @@ def test_texts_under_one_id_or_none(spark, small_docs):
     mixed = Counter(r.source + r.text for r in corpus_pipeline.mix_sources(spark, twice, SF).collect())
     assert len(set(want.values())) > 1 or len(want) < 36
     assert sum(mixed.values()) == sum(want.values())
+
+
+def test_clashing_columns(spark, small_docs):
+    """Columns named like those that stages and operators make come out of every stage as they went in."""
+    names = ["row", "row_key", "kept_key", "times", "turn", "blank", "copies", "copy", "k_id", "lang_pred", "found", "n_words", "toxic", "stratum", "size", "kept", "own"]
+    docs = small_docs.limit(120).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), "stage")
+        assert docs.columns == small_docs.columns + names, name
+        assert docs.filter(" OR ".join(f"{c} IS DISTINCT FROM concat('{c}', doc_id)" for c in names)).count() == 0 and docs.count() > 20, name
+    assert corpus_pipeline.pack(spark, docs, SF).count() > 0
+
+
+def test_unlearned_script_goes(spark, small_docs):
+    georgian = " ".join("".join(chr(0x10D0 + (7 * i * j + i + j * j) % 33) for j in range(3 + i % 6)) for i in range(60))
+    docs = small_docs.unionByName(spark.createDataFrame([(-5, georgian, None, None, 1)], small_docs.schema))
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.filter("doc_id = -5").count() == 0
+    assert kept.count() == small_docs.filter("text RLIKE '\\\\p{L}'").count()

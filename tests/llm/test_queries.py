@@ -20,13 +20,24 @@ def plain(v):
     return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_against_sql(spark, name):
+def compare(spark, name, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "labels", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
-    got = QUERIES[name](spark, SF).select(*columns).collect()
+    got = QUERIES[name](spark, sf_dir).select(*columns).collect()
     key = lambda rows: sorted((tuple(map(plain, r)) for r in rows), key=str)
     assert key(got) == key(found.fetchall())
+    return got
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    compare(spark, name, SF)
+
+
+def test_learned_cutoffs_against_sql(spark):
+    """Where there are labels enough for the bounds to prove cutoffs, and these reject documents."""
+    rows = compare(spark, "op3_quality_rules", "/root/testdata/sf0.1")
+    assert sum(not r.kept and not r.base_failed for r in rows) > 100
