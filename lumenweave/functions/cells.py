@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from .numbers import NUMBER
 from .text import blank_to_null, collapse
 
-#: Words in table headers, strong ones, and words that name a statistic.
-HEADER_TERMS = ("group", "arm", "outcome", "variable", "n", "total", "time")
-STRONG_TERMS = ("mean", "sd", "p value", "95% ci")
+#: Patterns in table headers, those that weigh two more, and patterns of statistics.
+HEADER_TERMS = (
+    r"\boutcome\b", r"\bgroup\b", r"\barm\b", r"\bvariable\b", r"\bcharacteristic\b", r"\bbaseline\b", r"\bweek", r"\bmonth", r"\bmean\b", r"\bsd\b", r"\bse\b",
+    r"\bp(?:\s*value)?\b", r"\bci\b", r"\blsmd\b", r"\bestimate\b", r"\bconfidence\b", r"\bpatient number", r"\bintensity\b", r"\bquestionnaire\b", r"\bitems?\b",
+    r"\btreatment\b", r"\bfollow[- ]?up\b", r"\bn\s*=",
+)
+STRONG_TERMS = r"n\s*=|significance|real\s+acupuncture|sham\s+acupuncture"
 STATISTICS = (("median", "median"), ("mean", "mean"), ("risk ratio|\\brr\\b", "risk_ratio"), ("odds ratio|\\bor\\b", "odds_ratio"), ("n \\(%\\)|events?", "event_count"), ("percent|%", "percentage"), ("change", "change"))
 #: Statistic and analysis names as written, and their code.
-STATISTIC_NAMES = {"mean": "mean", "mean value": "mean", "arithmetic mean": "mean", "median": "median", "event count": "event_count", "events": "event_count", "proportion": "proportion", "percentage": "percentage", "percent": "percentage", "change": "change", "change from baseline": "change", "mean difference": "mean_difference", "md": "mean_difference", "risk ratio": "risk_ratio", "rr": "risk_ratio", "odds ratio": "odds_ratio", "or": "odds_ratio", "other": "other"}
+STATISTIC_NAMES = {
+    "mean": "mean", "mean value": "mean", "arithmetic mean": "mean", "median": "median", "event count": "event_count", "event_count": "event_count", "events": "event_count",
+    "proportion": "proportion", "percentage": "percentage", "percent": "percentage", "change": "change", "change from baseline": "change", "other": "other",
+    "mean difference": "mean_difference", "md": "mean_difference", "risk ratio": "risk_ratio", "rr": "risk_ratio", "odds ratio": "odds_ratio", "or": "odds_ratio",
+}
 ANALYSIS_NAMES = {"itt": "ITT", "intention-to-treat": "ITT", "intention to treat": "ITT", "pp": "PPS", "pps": "PPS", "per-protocol": "PPS", "per protocol": "PPS", "fas": "FAS", "full analysis set": "FAS", "mitt": "mITT", "modified itt": "mITT", "modified intention-to-treat": "mITT", "modified intention to treat": "mITT"}
 #: What relations between arms are called.
 RELATIONS = {"between": "BETWEEN_GROUP", "between-group": "BETWEEN_GROUP", "vs": "BETWEEN_GROUP", "within": "WITHIN_GROUP", "within-group": "WITHIN_GROUP", "change": "WITHIN_GROUP"}
@@ -30,10 +38,13 @@ def vocabulary(c: Column, names: dict[str, str], default: str | None = None) ->
 
 
 def header_score(cell: Column, is_th: Column) -> Column:
-    """How much a cell looks like a header: 3 for th, 1 a term, 2 a strong term, 1 without digits."""
-    low = F.lower(F.coalesce(cell, F.lit("")))
-    hit = lambda words, n: sum((F.when(low.rlike(rf"\b{w}\b"), n).otherwise(0) for w in words), F.lit(0))
-    return F.when(is_th, 3).otherwise(0) + hit(HEADER_TERMS, 1) + hit(STRONG_TERMS, 2) + F.when(low.rlike("[0-9]"), 0).otherwise(1)
+    """How much a row's text looks like a header: its tag, its terms, strong ones, and that no number is in it."""
+    text = F.lower(collapse(cell))
+    points = F.when(is_th, 3).otherwise(0)
+    for pattern in HEADER_TERMS:
+        points = points + text.rlike(pattern).cast("int")
+    points = points + F.when(text.rlike(STRONG_TERMS), 2).otherwise(0) + F.when(text.rlike("[0-9]"), 0).otherwise(1)
+    return F.when(text == "", 0).otherwise(points)
 
 
 def statistic(header: Column, default: str = "other") -> Column:
@@ -65,8 +76,10 @@ def grade(c: Column, rules: Iterable[tuple[str, str]], otherwise: str = "NR") ->
     return out
 
 
-#: Kinds of control by their description.
-CONTROLS = (("non-?(invasive|penetrating) sham|non-?penetrating", "noninvasive_sham"), ("sham", "invasive_sham"), ("usual care|standard care", "usual_care"), ("wait(ing)? ?list", "waiting_list"), ("placebo", "placebo"))
+#: Kinds of control by their description; the first that occurs counts.
+CONTROLS = (
+    ("non-penetrating|without insertion", "non_invasive_sham"), ("sham|superficial|non-acupoint", "invasive_sham"), ("usual|standard", "usual_care"), ("wait", "waiting_list"), ("placebo", "placebo"),
+)
 
 
 def control_kind(c: Column) -> Column:

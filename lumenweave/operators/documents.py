@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.text import clean_cell, collapse, html_cells, pipe_cells
 
-#: Words in headings, letters only, and the section they open; the first that fits counts.
-SECTIONS = (("abstract", "ABSTRACT"), ("introduction", "INTRODUCTION"), ("background", "INTRODUCTION"), ("method", "METHODS"), ("result", "RESULTS"), ("discussion", "DISCUSSION"), ("conclusion", "DISCUSSION"), ("reference", "REFERENCES"))
+#: What headings contain, and the section they open; the first that fits counts.
+SECTIONS = (
+    ("abstract|^summary$", "ABSTRACT"), ("introduction|^background$", "INTRODUCTION"), ("method|materials", "METHODS"), ("result|finding", "RESULTS"),
+    ("discussion|conclusion", "DISCUSSION"), ("reference|bibliography", "REFERENCES"),
+)
 
 
 def section_code(heading: Column) -> Column:
     """The section that a heading opens; null if its words are unknown."""
-    letters = F.regexp_replace(F.lower(heading), "[^a-z]", "")
-    out = F.lit(None).cast("string")
-    for word, code in reversed(SECTIONS):
-        out = F.when(letters.contains(word), code).otherwise(out)
-    return out
+    letters = F.trim(F.regexp_replace(F.lower(heading), "[^a-z]+", " "))
+    return F.coalesce(*[F.when(letters.rlike(pattern), code) for pattern, code in SECTIONS])
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of grades and of findings.
 GRADE_WEIGHTS = {"EXACT": 1.0, "EQUIVALENT": 1.0, "MINOR": 0.5, "PARTIAL": 0.25, "WRONG": 0.0}
-FINDING_WEIGHTS = {"acceptable": 1.0, "minor": 0.8, "partial": 0.75, "mismatch": 0.3, "missing": 0.0, "unresolved": 0.4}
+FINDING_WEIGHTS = {"correct": 1.0, "acceptable": 0.8, "gold_ambiguous": 0.75, "missing": 0.3, "incorrect": 0.0, "partially_incorrect": 0.4}
 
 
 def rate(numerator: Column, denominator: Column) -> Column:
@@ -44,3 +44,36 @@ def weight(c: Column, weights: dict[str, float]) -> Column:
 def pick_counts(c: Column, names: list[str]) -> list[Column]:
     """A count of each name, zeros kept."""
     return [F.count_if(c == n).alias(n.lower()) for n in names]
+
+
+def finding_score(statuses: Column) -> Column:
+    """0 to 100 from an array of a row's findings, by their weights; unknown ones count nowhere, and null is none known."""
+    known = F.filter(F.transform(statuses, lambda x: weight(F.lower(F.trim(x)), FINDING_WEIGHTS)), lambda w: w.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, w: a + w) / F.size(known)
+    return F.when(F.size(known) > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.bround(100 * mean, 0).cast("int"))))
+
+
+def module_mean(rows: DataFrame, key: str, modules: list[str], replaced: str, other: str) -> DataFrame:
+    """(key, mean): the mean of module scores, half to even, with one module's score taken from another column."""
+    scores = [F.col(other if m == replaced else m) for m in modules]
+    return rows.select(key, F.bround(sum(scores[1:], scores[0]) / len(scores), 2).alias("mean"))
+
+
+def row_audit(expected: DataFrame, scored: DataFrame, group: str, row: str, score: str) -> DataFrame:
+    """(group, n_rows, n_missing, mean): the mean of valid scores (0 to 100) over the rows that were expected; others count nowhere."""
+    valid = F.when(F.col(score).between(0, 100), F.col(score))
+    return expected.join(scored, [group, row], "left").groupBy(group).agg(F.count("*").alias("n_rows"), F.count_if(valid.isNull()).alias("n_missing"), F.avg(valid).alias("mean"))
+
+
+def registry_audit(registry: DataFrame, schema: DataFrame) -> DataFrame:
+    """(field_id, finding) of a registry (field_id, value_type, enabled) against a schema (field_id, value_type).
+
+    UNREGISTERED, INVALID (enabled but unknown to the schema), TYPE_MISMATCH, DUPLICATE or OK; a disabled field counts as registered.
+    """
+    counted = registry.groupBy("field_id").agg(F.count("*").alias("n"), F.first("value_type").alias("r_type"), F.max("enabled").alias("enabled"))
+    both = counted.join(schema.select("field_id", F.col("value_type").alias("s_type")), "field_id", "full")
+    finding = (
+        F.when(F.col("n").isNull(), "UNREGISTERED").when(F.col("n") > 1, "DUPLICATE").when(F.col("s_type").isNull() & F.col("enabled"), "INVALID")
+        .when(F.col("s_type").isNotNull() & (F.col("r_type") != F.col("s_type")), "TYPE_MISMATCH").otherwise("OK")
+    )
+    return both.select("field_id", finding.alias("finding"))

@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from . import documents, evaluation, identity, matching, sequences  # noqa: F401  they register themselves
+from . import binding, documents, evaluation, identity, labels, matching, sequences  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

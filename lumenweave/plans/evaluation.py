@@ -88,15 +88,15 @@ def precision_recall(t):
     )
 
 
-@query("ag21_ag25_weighted_scores", """SELECT c_mktsegment, round(sum(w) / count(w), 9) AS finding_mean, round(100 * (count(*) FILTER (f = 'acceptable') + 5e-1 * count(*) FILTER (f = 'unresolved'))::DOUBLE / count(*), 6) AS agreement
-FROM (SELECT c_mktsegment, f, CASE f WHEN 'acceptable' THEN 1e0 WHEN 'minor' THEN 8e-1 WHEN 'partial' THEN 75e-2 WHEN 'mismatch' THEN 3e-1 WHEN 'missing' THEN 0e0 WHEN 'unresolved' THEN 4e-1 END AS w
-  FROM (SELECT c_mktsegment, ['acceptable', 'minor', 'partial', 'mismatch', 'missing', 'unresolved', 'other'][(c_custkey % 7 + 1)::INT] AS f FROM customer)) GROUP BY c_mktsegment""")
+@query("ag21_ag25_weighted_scores", """SELECT c_mktsegment, round(sum(w) / count(w), 9) AS finding_mean, round(100 * (count(*) FILTER (f = 'correct') + 5e-1 * count(*) FILTER (f = 'acceptable'))::DOUBLE / count(*), 6) AS agreement
+FROM (SELECT c_mktsegment, f, CASE f WHEN 'correct' THEN 1e0 WHEN 'acceptable' THEN 8e-1 WHEN 'gold_ambiguous' THEN 75e-2 WHEN 'missing' THEN 3e-1 WHEN 'incorrect' THEN 0e0 WHEN 'partially_incorrect' THEN 4e-1 END AS w
+  FROM (SELECT c_mktsegment, ['correct', 'acceptable', 'gold_ambiguous', 'missing', 'incorrect', 'partially_incorrect', 'other'][(c_custkey % 7 + 1)::INT] AS f FROM customer)) GROUP BY c_mktsegment""")
 def weighted_scores(t):
     order = F.array(*[F.lit(x) for x in (*metrics.FINDING_WEIGHTS, "other")])
     found = t.customer.withColumn("f", F.get(order, (F.col("c_custkey") % 7).cast("int")))
     return found.groupBy("c_mktsegment").agg(
         F.round(F.avg(metrics.weight(F.col("f"), metrics.FINDING_WEIGHTS)), 9).alias("finding_mean"),
-        F.round(100 * (F.count_if(F.col("f") == "acceptable") + F.lit(0.5) * F.count_if(F.col("f") == "unresolved")).cast("double") / F.count("*"), 6).alias("agreement"),
+        F.round(100 * (F.count_if(F.col("f") == "correct") + F.lit(0.5) * F.count_if(F.col("f") == "acceptable")).cast("double") / F.count("*"), 6).alias("agreement"),
     )
 
 

@@ -17,13 +17,13 @@ def three_valued_match(t):
     return t.part.select("p_partkey", identity.three_valued(first, F.col("p_size") > 25).alias("matched"))
 
 
-PAIRS = """b AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS cn, s_nationkey AS sn, c_acctbal > 0 AS ca, s_acctbal > 0 AS sa FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50)"""
+PAIRS = """b AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS cn, s_nationkey AS sn, c_acctbal > 0 AS ca, s_acctbal > 0 AS sa FROM customer JOIN supplier ON c_custkey // 10 = s_suppkey)"""
 
 
 def pairs(t):
-    c = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("cn"), (F.col("c_acctbal") > 0).alias("ca"), (F.col("c_custkey") % 50).alias("k"))
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("sn"), (F.col("s_acctbal") > 0).alias("sa"), (F.col("s_suppkey") % 50).alias("k"))
-    return c.join(s, "k")
+    c = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("cn"), (F.col("c_acctbal") > 0).alias("ca"), F.expr("c_custkey DIV 10").alias("k"))
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("sn"), (F.col("s_acctbal") > 0).alias("sa"), F.col("s_suppkey").alias("k"))
+    return c.join(s, "k").drop("k")
 
 
 @query("jn08_dimension_compatibility", f"""WITH {PAIRS} SELECT c_custkey, s_suppkey, (cn IS NULL OR cn = sn) AND ca = sa AS viable, coalesce(cn = sn, false) AND ca = sa AS safe FROM b""")
@@ -53,11 +53,11 @@ def reciprocal_evidence(t):
 
 
 @query("jn19_multi_label_bind", """WITH a AS (SELECT DISTINCT p_type AS label, CASE WHEN p_type LIKE '%O%' THEN 'x' ELSE 'y' END AS owner FROM part UNION SELECT min(p_type), 'z' FROM part), o AS (SELECT label, min(owner) AS owner, count(DISTINCT owner) AS n FROM a GROUP BY label)
-SELECT p_brand, CASE WHEN count(*) FILTER (coalesce(o.n <> 1, true)) = 0 AND count(DISTINCT o.owner) = 1 THEN min(o.owner) END AS owner FROM (SELECT DISTINCT p_brand, p_type AS label FROM part WHERE p_size < 3) l LEFT JOIN o USING (label) GROUP BY p_brand""")
+SELECT p_brand, CASE WHEN count(*) FILTER (coalesce(o.n <> 1, true)) = 0 AND count(DISTINCT o.owner) = 1 THEN min(o.owner) END AS owner FROM (SELECT DISTINCT p_brand || p_size AS p_brand, p_type AS label FROM part) l LEFT JOIN o USING (label) GROUP BY p_brand""")
 def multi_label_bind(t):
     owned = t.part.select(F.col("p_type").alias("label"), F.when(F.col("p_type").contains("O"), "x").otherwise("y").alias("owner")).distinct()
     aliases = owned.union(t.part.agg(F.min("p_type").alias("label")).withColumn("owner", F.lit("z")))
-    labels = t.part.filter("p_size < 3").select("p_brand", F.col("p_type").alias("label")).distinct()
+    labels = t.part.select(F.concat("p_brand", "p_size").alias("p_brand"), F.col("p_type").alias("label")).distinct()
     return identity.bind_all(labels, aliases, "p_brand", "label", "owner")
 
 
@@ -129,7 +129,7 @@ def derived_durations(t):
     return t.part.select("p_partkey", cells.weekly_duration(F.col("p_partkey").cast("double"), (F.col("p_size") % 4).cast("double"), told).alias("weeks"))
 
 
-@query("st57_st60_feature_rows", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'noninvasive_sham' WHEN 1 THEN 'invasive_sham' WHEN 2 THEN 'waiting_list' ELSE 'NR' END AS control, CASE WHEN p_size % 2 = 0 THEN p_size // 2 END AS arm_size FROM part""")
+@query("st57_st60_feature_rows", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'non_invasive_sham' WHEN 1 THEN 'invasive_sham' WHEN 2 THEN 'waiting_list' ELSE 'NR' END AS control, CASE WHEN p_size % 2 = 0 THEN p_size // 2 END AS arm_size FROM part""")
 def feature_rows(t):
     told = F.get(F.array(*[F.lit(x) for x in ("Non-penetrating sham", "sham needle", "waiting list", "nothing said")]), (F.col("p_partkey") % 4).cast("int"))
     return t.part.select("p_partkey", cells.control_kind(told).alias("control"), cells.arm_sizes(F.col("p_size"))[0].alias("arm_size"))

@@ -10,13 +10,14 @@ from lumenweave.operators import graph, matching, merging
 
 from .registry import query
 
-EDGES = """e AS (SELECT DISTINCT 'c' || (o_custkey % 400) AS gold, 's' || (l_suppkey * 37 % 500) AS pred FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 97 < 3 AND l_linenumber = 1)"""
+EDGES = """e AS (SELECT DISTINCT 'c' || doc_id AS gold, 's' || md5(text) AS pred FROM documents UNION SELECT DISTINCT 'c' || doc_id, 'l' || source || n_chars FROM documents WHERE lang = 'en')"""
 
 
 def edges(t):
-    """A sparse bipartite graph of customers and suppliers that meet in some orders."""
-    both = t.orders.filter("o_orderkey % 97 < 3").join(t.lineitem.filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return both.select(F.concat(F.lit("c"), F.col("o_custkey") % 400).alias("gold"), F.concat(F.lit("s"), F.col("l_suppkey") * 37 % 500).alias("pred")).distinct()
+    """A sparse bipartite graph of documents with their texts and, of English ones, with the source and length that they share."""
+    gold = F.concat(F.lit("c"), "doc_id").alias("gold")
+    same = t.documents.select(gold, F.concat(F.lit("s"), F.md5("text")).alias("pred"))
+    return same.union(t.documents.filter("lang = 'en'").select(gold, F.concat(F.lit("l"), "source", "n_chars"))).distinct()
 
 
 WALK = f"""WITH RECURSIVE {EDGES},
@@ -102,12 +103,12 @@ def unique_cell(t):
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.when(F.count_if(hit) == 1, F.max(F.when(hit, F.col("l_linenumber")))).alias("cell"))
 
 
-@query("jn33_jn34_fill_and_append", """WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name, c_nationkey AS nation FROM customer WHERE c_custkey <= 120),
-b AS (SELECT s_suppkey * 2 AS k, s_name AS name, s_nationkey AS nation FROM supplier)
+@query("jn33_jn34_fill_and_append", """WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name, c_nationkey AS nation FROM customer),
+b AS (SELECT s_suppkey * 20 AS k, s_name AS name, s_nationkey AS nation FROM supplier)
 SELECT a.k, coalesce(a.name, b.name) AS name, coalesce(a.nation, b.nation) AS nation FROM a LEFT JOIN b USING (k) UNION ALL SELECT k, name, nation FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def fill_and_append(t):
-    a = t.customer.filter("c_custkey <= 120").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.col("c_nationkey").alias("nation"))
-    b = t.supplier.select((F.col("s_suppkey") * 2).alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.col("c_nationkey").alias("nation"))
+    b = t.supplier.select((F.col("s_suppkey") * 20).alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     return matching.merge_append(a, b, "k", ["name", "nation"])
 
 

@@ -55,7 +55,8 @@ def test_row_kind(spark, row, count, mean, want):
 
 
 def test_header_score(spark):
-    assert value(spark, cells.header_score(F.lit("Group mean"), F.lit(True))) == 3 + 1 + 2 + 1
+    assert value(spark, cells.header_score(F.lit("Group mean"), F.lit(True))) == 3 + 1 + 1 + 1
+    assert value(spark, cells.header_score(F.lit("Outcome, week 4 (n = 20)"), F.lit(False))) == 3 + 2
     assert value(spark, cells.header_score(F.lit("12"), F.lit(False))) == 0
 
 
