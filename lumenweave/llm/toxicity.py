@@ -259,15 +259,20 @@ def learn_lexicon(rows: DataFrame, spec: ToxicSpec) -> dict[tuple[str, bool], fl
     def count(wanted: frozenset | None):
         """Documents with each term; with ``wanted``, of those terms only."""
 
+        def terms_of(word: str) -> tuple[str, ...]:
+            bare = word.strip(_STRIP)
+            terms = (bare, *[bare[:n] + STEM for n in spec.stems if len(bare) > n]) if len(bare) > 2 else ()
+            return terms if wanted is None else tuple(t for t in terms if t in wanted)
+
         def run(batches):
             seen: Counter = Counter()
+            memo = _Memo(terms_of)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    words = {w.strip(_STRIP) for w in words_of(text or "")}
-                    terms = {w for w in words if len(w) > 2}
-                    for n in spec.stems:
-                        terms.update([w[:n] + STEM for w in words if len(w) > n])
-                    seen.update(terms if wanted is None else terms & wanted)
+                for text in batch.column(0):
+                    terms: set[str] = set()
+                    for word in set(words_of(text.as_py() or "")):
+                        terms.update(memo[word])
+                    seen.update(terms)
             some = list(seen.items())
             for at in range(0, len(some), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some[at : at + 50_000]], t) for k, t in enumerate((pa.string(), pa.int64()))], names=["term", "n"])
