@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import bm25, top_k
@@ -49,3 +49,28 @@ def first_evidence(chunks: DataFrame, found: DataFrame, key: str, start: int = 1
     has = F.contains("content", F.substring("value", 1, start))
     best = chunks.join(found.select(key, "value"), key).groupBy(key).agg(F.first("value").alias("value"), F.coalesce(F.min(F.when(has, F.col("chunk_id"))), F.min("chunk_id")).alias("chunk_id"))
     return found.select(key).distinct().join(best, key, "left")
+
+
+def first_urls(pairs: Column, limit: int = 6) -> Column:
+    """Of an array of struct(source, url), the first of each url, at most ``limit``; blank urls go."""
+    filled = F.filter(pairs, lambda x: F.coalesce(F.trim(x["url"]), F.lit("")) != "")
+    urls = F.transform(filled, lambda x: x["url"])
+    return F.slice(F.filter(filled, lambda x, i: F.array_position(urls, x["url"]) == i + 1), 1, limit)
+
+
+def prefixed(contexts: Column, header: Column) -> Column:
+    """A map of named contexts, each after the header and a blank line; a blank context is the header alone."""
+    return F.transform_values(contexts, lambda _, text: F.when(F.trim(F.coalesce(text, F.lit(""))) == "", header).otherwise(F.concat(header, F.lit("\n\n"), text)))
+
+
+def rerank(hits: DataFrame, score: Column | None = None, cap: int = 1500) -> DataFrame:
+    """``hits`` (score, summary) by another stage's score, held to 0..1, where it gave one; summaries are cut at ``cap``."""
+    told = F.lit(None).cast("double") if score is None else score
+    return hits.withColumns({"score": F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), told)), F.col("score")), "summary": F.substring("summary", 1, cap)})
+
+
+def answer(docs: DataFrame, query: list[str], limit: int, contradictions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """From a question to a cited answer: search, rerank, contradictions, lines with citations."""
+    hits = search(docs, query, limit, id_col, text_col).join(docs.select(F.col(id_col).cast("string").alias("citation_id"), F.col(text_col).alias("text")), "citation_id")
+    hits = rerank(hits.withColumn("summary", F.lit(None).cast("string"))).withColumn("query", F.lit(" ".join(query)))
+    return cited_answer(hits, hits.select("query", "citation_id"), contradictions)
