@@ -117,11 +117,29 @@ def singleton(c: Column) -> Column:
 
 
 def balanced_json(c: Column) -> Column:
-    """The first JSON object or array in a text that parses; null without one."""
-    whole = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
-    inner = F.regexp_extract(c, r"(?s)(\{[^{}]*\})", 1)
-    parses = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
-    return F.coalesce(parses(whole), parses(inner))
+    """The first object or array in a text whose brackets balance, if it parses; null without one.
+
+    Brackets within strings do not count, nor do quotation marks behind a backslash.
+    """
+    whole, yes = lambda n: F.lit(n).cast("int"), F.lit(True)
+    state = lambda **parts: F.struct(*[x.alias(name) for name, x in parts.items()])
+
+    def step(a: Column, ch: Column) -> Column:
+        at = a["at"] + 1
+        opens = ~a["quoted"] & ch.isin("{", "[")
+        closes = ~a["quoted"] & ch.isin("}", "]") & (a["depth"] > 0)
+        depth = a["depth"] + opens.cast("int") - closes.cast("int")
+        mark = (ch == '"') & ~a["escaped"] & (depth > 0)
+        moved = state(
+            at=at, depth=depth, quoted=F.when(mark, ~a["quoted"]).otherwise(a["quoted"]), escaped=a["quoted"] & ~a["escaped"] & (ch == "\\"),
+            start=F.when((a["start"] == 0) & opens, at).otherwise(a["start"]), stop=F.when(closes & (depth == 0), at).otherwise(whole(0)),
+        )
+        return F.when(a["stop"] > 0, a).otherwise(moved)
+
+    start = state(at=whole(0), depth=whole(0), quoted=~yes, escaped=~yes, start=whole(0), stop=whole(0))
+    ends = F.aggregate(F.split(c, ""), start, step, lambda a: F.when(a["stop"] > 0, F.struct(a["start"], a["stop"])))
+    found = F.transform(F.array(ends), lambda e: F.substring(c, e["start"], e["stop"] - e["start"] + 1))
+    return F.get(F.transform(found, lambda x: F.when(F.try_parse_json(x).isNotNull(), x)), 0)
 
 
 def suffix_number(c: Column) -> Column:

@@ -66,7 +66,7 @@ def prefixed(contexts: Column, header: Column) -> Column:
 def rerank(hits: DataFrame, score: Column | None = None, cap: int = 1500) -> DataFrame:
     """``hits`` (score, summary) by another stage's score, held to 0..1, where it gave one; summaries are cut at ``cap``."""
     told = F.lit(None).cast("double") if score is None else score
-    return hits.withColumns({"score": F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), told)), F.col("score")), "summary": F.substring("summary", 1, cap)})
+    return hits.withColumns({"score": F.coalesce(F.when(told.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), told))), F.col("score")), "summary": F.substring("summary", 1, cap)})
 
 
 def answer(docs: DataFrame, query: list[str], limit: int, contradictions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

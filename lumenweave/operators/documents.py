@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.text import clean_cell, collapse, html_cells, pipe_cells
+from lumenweave.shared import written
 
 #: What headings contain, and the section they open; the first that fits counts.
 SECTIONS = (
@@ -41,13 +42,15 @@ def routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def boilerplate(blocks: DataFrame, group: str, page: str, content: str) -> DataFrame:
     """``blocks`` with ``is_boilerplate``: empty, a page number, or short and on most pages (three at least)."""
     key = F.lower(collapse(F.col(content)))
-    pages = F.count_distinct(F.col(page))
-    counted = blocks.withColumn("_key", key)
-    often = counted.groupBy(group, "_key").agg(pages.alias("_n"))
-    total = blocks.groupBy(group).agg(pages.alias("_pages"))
-    many = (F.col("_n") >= F.greatest(F.lit(3), F.ceil(0.6 * F.col("_pages")))) & (F.length("_key") < 180)
-    out = counted.join(often, [group, "_key"], "left").join(total, group, "left")
-    return out.withColumn("is_boilerplate", (F.col("_key") == "") | F.col("_key").rlike(r"^(page )?[0-9]+$") | F.coalesce(many, F.lit(False))).drop("_key", "_n", "_pages")
+    plain = (key == "") | key.rlike(r"^(page )?[0-9]+$")
+    # Lines are counted by their keys' hashes and lengths; only those on most pages, a few a group, meet the lines again.
+    keyed = blocks.withColumn("_plain", plain).withColumn("_key", F.xxhash64(key)).withColumn("_size", F.length(key))
+    total = blocks.groupBy(group).agg(F.count_distinct(F.col(page)).alias("_pages"))
+    often = keyed.filter(~F.col("_plain") & (F.col("_size") < 180)).groupBy(group, "_key", "_size").agg(F.count_distinct(F.col(page)).alias("_n"))
+    often = written(often.join(total, group).filter(F.col("_n") >= F.greatest(F.lit(3), F.ceil(0.6 * F.col("_pages")))).select(group, "_key", "_size", F.lit(True).alias("_many")), "frequent-lines")
+    often = F.broadcast(often) if often.count() <= 100_000 else often
+    out = keyed.join(often, [group, "_key", "_size"], "left")
+    return out.withColumn("is_boilerplate", F.col("_plain") | F.coalesce("_many", F.lit(False))).drop("_key", "_size", "_plain", "_many")
 
 
 def html_tables(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -101,8 +101,7 @@ def p_values(t):
 def pairs(t):
     q, n = F.col("l_quantity").cast("string"), F.col("l_linenumber").cast("string")
     m = numbers.mean_sd(F.when(F.col("l_linenumber") % 2 == 0, F.concat(q, F.lit(" ("), n, F.lit(")"))).otherwise(F.concat(q, F.lit(" ± "), n)))
-    i = numbers.interval(F.concat(F.lit("95% CI: "), n, F.lit(" to "), (F.col("l_quantity") + 10).cast("string")))
-    i = numbers.interval(F.concat(n, F.lit(" to "), (F.col("l_quantity") + 10).cast("string")))
+    i = numbers.interval(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "95% CI: ").otherwise(""), n, F.lit(" to "), (F.col("l_quantity") + 10).cast("string")))
     return t.lineitem.select("l_orderkey", "l_linenumber", m["mean"].alias("mean"), m["sd"].alias("sd"), i["lower"].alias("lower"), i["upper"].alias("upper"))
 
 

@@ -219,18 +219,12 @@ def hashed_vectors(t):
 k AS (SELECT doc_id, sum(c.n * qv.n) / any_value(z.len) / any_value(ql.len) AS cos FROM c JOIN qv USING (d) JOIN z USING (doc_id), ql GROUP BY doc_id), m AS (SELECT max(score) AS m FROM b)
 SELECT doc_id, round(65e-2 * coalesce(score / m, 0) + 35e-2 * coalesce(cos, 0), 6) AS score FROM k LEFT JOIN b USING (doc_id), m ORDER BY score DESC, doc_id LIMIT 25""")
 def hybrid_rerank(t):
-    from collections import Counter
-
-    spark = t.documents.sparkSession
-    q = spark.createDataFrame([(x, float(n)) for x, n in Counter(TERMS).items()], "t string, q double").select(F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"), F.lit(256)).alias("d"), "q")
-    q_len = sum(v * v for v in Counter(TERMS).values()) ** 0.5
-    vectors = term_vectors(t.documents).join(F.broadcast(q), "d", "left")  # a query's few terms
-    cos = vectors.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("q")) / F.sqrt(F.sum(F.col("n") * F.col("n"))) / F.lit(float(q_len))).alias("cos")).filter("cos > 0")
-    lexical = retrieval.bm25(t.documents, TERMS)
-    most = lexical.agg(F.max("score")).first()[0] or 1.0
-    both = cos.join(lexical, "doc_id", "left")
-    scored = both.select("doc_id", F.round(retrieval.hybrid(F.col("score"), F.col("cos"), F.lit(most)), 6).alias("score"))
-    return retrieval.top_k(scored, 25, F.desc("score"), F.asc("doc_id"))
+    """All documents by words and by hashed vectors at once, in one scan of the texts."""
+    places = retrieval.hashed_places(F.col("_w"))
+    both = retrieval.scored(t.documents, TERMS, cos=retrieval.hashed_cosine(places, TERMS)).filter("cos > 0")
+    most = both.agg(F.max("score")).first()[0] or 1.0
+    ranked = both.select("doc_id", F.round(retrieval.hybrid(F.col("score"), F.col("cos"), F.lit(most)), 6).alias("score"))
+    return retrieval.top_k(ranked, 25, F.desc("score"), F.asc("doc_id"))
 
 
 @query("tk07_centroid_cosine", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY label, i)

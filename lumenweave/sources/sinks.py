@@ -43,7 +43,9 @@ def publish_snapshot(df: DataFrame, path: str) -> DataFrame:
     """Write once, never over; returns (file, rows, digest), the digest independent of row order."""
     df.write.mode("errorifexists").parquet(path)
     again = df.sparkSession.read.parquet(path)
-    digest = F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256)
+    # Sums of hashes are the same in any order, and are added up task by task.
+    sums = [F.sum(F.xxhash64(F.lit(k), "h").cast("decimal(38,0)")).cast("string") for k in range(4)]
+    digest = F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256)
     per_file = again.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.sha2(F.to_json(F.struct(*again.columns)), 256).alias("h"))
     return per_file.groupBy("file").agg(F.count("*").alias("rows"), digest.alias("digest"))
 

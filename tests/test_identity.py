@@ -43,9 +43,10 @@ def test_bind_all(spark):
 @pytest.mark.parametrize("f, raw, want", [
     (cells.number_shape, "1.8 (0.7)", "# (#)"), (cells.statistic, "Median (IQR)", "median"), (cells.statistic, "whatever", "other"), (cells.control_kind, "Usual care only", "usual_care"), (cells.suffix_number, "S1-A007", 7), (cells.suffix_number, "none", None),
     (cells.singleton, '["a"]', "a"), (cells.singleton, '["a", "b"]', None), (cells.singleton, "a", "a"), (cells.balanced_json, 'so: {"a": {"b": 1}} done', '{"a": {"b": 1}}'), (cells.balanced_json, "none", None),
+    (cells.balanced_json, 'x {"a": "}]{", "b": ["\\"}"]} y {"c": 1}', '{"a": "}]{", "b": ["\\"}"]}'), (cells.balanced_json, "{broken", None), (cells.balanced_json, "[1, [2]] [3]", "[1, [2]]"), (cells.balanced_json, None, None),
 ])
 def test_cells(spark, f, raw, want):
-    assert value(spark, f(F.lit(raw))) == want
+    assert value(spark, f(F.lit(raw).cast("string"))) == want
 
 
 @pytest.mark.parametrize("row, count, mean, want", [(["1.8 (0.7)", "2 (1)"], False, True, "mean"), (["1.8 (0.7)"], False, False, None), (["12 (30%)", "9 (22.5 %)"], True, False, "event_count"), (["1.8 (0.7)", "x"], False, True, None), ([], True, True, None)])
