@@ -42,9 +42,9 @@ def routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def boilerplate(blocks: DataFrame, group: str, page: str, content: str) -> DataFrame:
     """``blocks`` with ``is_boilerplate``: empty, a page number, or short and on most pages (three at least)."""
     key = F.lower(collapse(F.col(content)))
-    plain = (key == "") | key.rlike(r"^(page )?[0-9]+$")
+    plain = (F.col("_text") == "") | F.col("_text").rlike(r"^(page )?[0-9]+$")
     # Lines are counted by their keys' hashes and lengths; only those on most pages, a few a group, meet the lines again.
-    keyed = blocks.withColumn("_plain", plain).withColumn("_key", F.xxhash64(key)).withColumn("_size", F.length(key))
+    keyed = blocks.withColumn("_text", key).withColumns({"_plain": plain, "_key": F.xxhash64("_text"), "_size": F.length("_text")}).drop("_text")
     total = blocks.groupBy(group).agg(F.count_distinct(F.col(page)).alias("_pages"))
     often = keyed.filter(~F.col("_plain") & (F.col("_size") < 180)).groupBy(group, "_key", "_size").agg(F.count_distinct(F.col(page)).alias("_n"))
     often = written(often.join(total, group).filter(F.col("_n") >= F.greatest(F.lit(3), F.ceil(0.6 * F.col("_pages")))).select(group, "_key", "_size", F.lit(True).alias("_many")), "frequent-lines")

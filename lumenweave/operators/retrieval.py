@@ -41,19 +41,15 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: st
     return scored(docs, query, id_col, text_col).filter("score > 0")
 
 
-#: Dimensions of hashed vectors.
-DIMENSIONS = 256
-
-
 def hashed_places(words: Column) -> Column:
-    """Each word's dimension, from its MD5."""
-    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(DIMENSIONS)))
+    """Each word's dimension of 256, as two hex digits: what the first 32 bits of its MD5 leave when divided by 256."""
+    return F.transform(words, lambda w: F.substring(F.md5(w), 7, 2))
 
 
 def hashed_length(places: Column) -> Column:
     """Length of the vector of counts: a word more in a dimension of n words adds 2n + 1 to its square."""
     step = lambda acc, d: F.when(acc["d"] == d, F.struct(d.alias("d"), (acc["n"] + 1).alias("n"), (acc["t"] + 2 * acc["n"] + 1).alias("t"))).otherwise(F.struct(d.alias("d"), F.lit(1).cast("long").alias("n"), (acc["t"] + 1).alias("t")))
-    start = F.struct(F.lit(-1).cast("long").alias("d"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    start = F.struct(F.lit("").alias("d"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
     return F.sqrt(F.aggregate(F.array_sort(places), start, step, lambda acc: acc["t"].cast("double")))
 
 
@@ -61,10 +57,14 @@ def hashed_cosine(places: Column, query: list[str]) -> Column:
     """Cosine of a text's hashed vector, by its words' places, with a query's; null for a text without words."""
     at: Counter = Counter()
     for word in query:
-        at[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIMENSIONS] += 1
-    held = lambda d: F.size(F.filter(places, lambda p: p == d))
-    dot = sum((float(n) * held(d) for d, n in sorted(at.items())), F.lit(0.0))
-    return F.try_divide(dot, hashed_length(places) * F.lit(sum(n * n for n in at.values()) ** 0.5))
+        at[hashlib.md5(word.encode()).hexdigest()[6:8]] += 1
+    def cosine_of(held: Column) -> Column:
+        times = lambda d: F.size(F.filter(held, lambda p: p == d))
+        dot = sum((float(n) * times(d) for d, n in sorted(at.items())), F.lit(0.0))
+        return F.try_divide(dot, hashed_length(held) * F.lit(sum(n * n for n in at.values()) ** 0.5))
+
+    # The places are worked out once: the array has one element.
+    return F.get(F.transform(F.array(places), cosine_of), 0)
 
 
 def top_k(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
