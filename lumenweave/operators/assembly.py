@@ -82,3 +82,21 @@ def tree_digest(files: DataFrame, root: str) -> DataFrame:
     relative = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
     lines = files.select(F.concat_ws(" ", relative, F.sha2("content", 256)).alias("line"))
     return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+
+
+def field_struct(status: str, value: str, raw: str, evidence: str) -> Column:
+    """A field as one struct of status, value, raw text and evidence ids; the value only where it is present, no evidence is an empty list."""
+    return F.struct(
+        F.col(status).alias("status"), F.when(F.col(status) == "PRESENT", F.col(value)).alias("value"), F.col(raw).alias("raw"),
+        F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"),
+    )
+
+
+def module_contexts(lines: DataFrame, key: str, modules: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """(key, one column a module): the module's sections, and lines elsewhere that a pattern picks, in order and each line once.
+
+    ``lines`` has key, line, section and content; ``modules`` gives each module its sections and its pattern.
+    """
+    wanted = lambda sections, pattern: F.col("section").isin(*sections) | F.col("content").rlike(pattern)
+    listed = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(c), lambda x: x["content"])), "\n")
+    return lines.groupBy(key).agg(*[listed(F.collect_list(F.when(wanted(*m), F.struct("line", "content")))).alias(name) for name, m in modules.items()])

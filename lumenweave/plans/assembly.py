@@ -201,3 +201,18 @@ def unresolved_warnings(t):
 def search(t):
     """The ten documents that a lexical search ranks first, with their citations."""
     return answers.search(t.documents, ["the", "and", "ring"], 10)
+
+
+@query("pf17_field_structs", """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'PRESENT' ELSE 'NOT_REPORTED' END AS status, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS value, c_mktsegment AS raw, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_evidence FROM customer""")
+def field_structs(t):
+    made = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, "PRESENT").otherwise("NOT_REPORTED").alias("s"), F.col("c_mktsegment").alias("v"), F.when(F.col("c_custkey") % 2 == 0, F.array("c_name")).alias("e"))
+    field = assembly.field_struct("s", "v", "v", "e")
+    return made.select("c_custkey", field.alias("f")).select("c_custkey", "f.status", "f.value", "f.raw", F.size("f.evidence").alias("n_evidence"))
+
+
+@query("pf03_module_contexts", """WITH l AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn, role) AS k FROM conversations WHERE role = 'user' OR regexp_matches(lower(text), 'rights')) SELECT c.conv_id, md5(coalesce(x, '')) AS digest FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS x FROM l WHERE k = 1 GROUP BY conv_id) USING (conv_id)""")
+def module_contexts(t):
+    """What users say in a conversation, and whatever speaks of rights."""
+    lines = t.conversations.select("conv_id", F.col("turn").alias("line"), F.col("role").alias("section"), F.col("text").alias("content"))
+    return assembly.module_contexts(lines, "conv_id", {"said": (["user"], "(?i)rights")}).select("conv_id", F.md5("said").alias("digest"))

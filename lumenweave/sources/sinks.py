@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.operators.merging import keep_first, upsert
+from lumenweave.operators.numbering import dense_numbers
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -78,3 +79,9 @@ def html_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 def fixed_columns(rows: DataFrame, header: list[str], default: str = "NR") -> DataFrame:
     """Columns in the template's order; those not in the rows, and nulls, hold the default, others than the template's are left out."""
     return rows.select(*[F.coalesce(F.col(h).cast("string"), F.lit(default)).alias(h) if h in rows.columns else F.lit(default).alias(h) for h in header])
+
+
+def append_log(current: DataFrame, events: DataFrame, *order: str) -> DataFrame:
+    """``events`` with ``seq`` going on from the log's last, to be appended to it; numbered without gathering them in one task."""
+    last = current.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return dense_numbers(events, "seq", *order).withColumn("seq", F.col("seq").cast("long") + F.lit(last))

@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from lumenweave.operators import answers, assembly, planning, topology
+from lumenweave.sources import sinks
 
 
 def test_tree_digest(spark, tmp_path):
@@ -40,3 +41,17 @@ def test_cell_specs_of_damaged_rows(spark):
     cells = lambda row: spark.range(1).select(topology.cell_specs(F.lit(row)).alias("c")).first().c
     assert [tuple(c) for c in cells("<tr><td rowspan=x>a</td><td colspan='0'>b</td></tr>")] == [("a", 1, 1), ("b", 1, 1)]
     assert cells("<tr></tr>") == []
+
+
+def test_append_log(spark):
+    log = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, event string")
+    more = spark.createDataFrame([("d", 2), ("c", 1)], "event string, at int")
+    got = sinks.append_log(log, more, "at").select("seq", "event").collect()
+    assert sorted(tuple(r) for r in got) == [(3, "c"), (4, "d")]
+    assert [r.seq for r in sinks.append_log(log.limit(0), more.limit(1), "at").collect()] == [1]
+
+
+def test_write_jsonl(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), path)
+    assert [r.value for r in spark.read.text(path).collect()] == ['{"a":1,"b":null}']
