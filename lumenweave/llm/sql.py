@@ -92,4 +92,79 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT
 FROM p JOIN b USING (h) JOIN m USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_mixing_sources": OP5, "op10_warc": OP10}
+OP11 = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+  FROM b WHERE len(w) > 0),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+dw AS (
+  SELECT rid, m, unnest(range(1, len(w) - m + 2)) AS pos, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS win
+  FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m),
+h AS (SELECT DISTINCT rid, m, pos, win FROM dw SEMI JOIN bw USING (m, win)),
+n AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(pos, pos + m)) AS p FROM h) GROUP BY rid),
+i AS (
+  SELECT rid, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h JOIN bw USING (m, win) WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+"""
+
+OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INT AS rank
+  FROM p JOIN s ON p.place <= 5 AND p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN g ON d.doc_id = g.doc_id),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT part, n, good, toxic, failed, filter_order, step, substr(filter_order, step, 1) AS letter,
+    (SELECT min(instr(filter_order, y)) FROM (SELECT unnest(string_split(failed, '')) AS y) WHERE y <> '') AS gone
+  FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN gone IS NULL OR gone > step THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN contains(failed, letter) AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op5_mixing_sources": OP5, "op10_warc": OP10, "op11_decontamination": OP11, "op12_hard_negatives": OP12, "op13_filter_audit": OP13}
