@@ -13,6 +13,7 @@ these sums gives the score.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,7 +39,6 @@ class ToxicSpec:
     max_train: int = 20_000
     min_gain: float = 28.0
     min_log_odds: float = 3.0
-    max_terms: int = 400
     stems: tuple[int, ...] = (4, 5, 6, 7)
     window: int = 6
     min_fuzzy: int = 5
@@ -186,7 +186,8 @@ def hits(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, tuple[str, b
         around = raw[max(0, i - width) : i + width + 1]
         left, right = raw[max(0, i - width) : i], raw[i + 1 : i + 1 + width]
         quoted = _between_marks(left, raw[i], right) or any(w.strip(_STRIP) in REPORTING for w in around)
-        out.append((i, term, exact, quoted, sum(abs(p - i) <= width for p in places) - 1))
+        near = bisect_right(places, i + width) - bisect_left(places, i - width)
+        out.append((i, term, exact, quoted, near - 1))
     return len(raw), out
 
 
@@ -299,8 +300,6 @@ def learn_lexicon(rows: DataFrame, spec: ToxicSpec) -> dict[tuple[str, bool], fl
         if any((s and term.startswith(t)) or (stem and t.startswith(term)) or t == term for t, s in chosen):
             continue
         chosen[term, stem] = min(8.0, odds)
-        if len(chosen) == spec.max_terms:
-            break
     return chosen
 
 
@@ -308,10 +307,16 @@ def learn(docs: DataFrame, labels: DataFrame, usable, spec: ToxicSpec = ToxicSpe
     """Fit the lexicon and the model on labelled documents that ``usable(column)`` admits.
 
     Labels without a document or without a verdict teach nothing; of repeated labels of an id the greatest counts;
-    null texts are empty.  Further columns are not looked at.
+    null texts are empty.  Where repeated rows make the sample larger than twice its bound, each id teaches once, by
+    its least text.  Further columns are not looked at.
     Without toxic or without harmless labels the lexicon is empty and the scores are the prior's.
     """
     rows = training_rows(docs, labels, usable, spec).cache()
+    if rows.count() > 2 * spec.max_train:
+        every = rows
+        rows = every.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).cache()
+        rows.count()
+        every.unpersist()
     terms = learn_lexicon(rows, spec)
 
     def measured(lexicon: Lexicon):
@@ -345,7 +350,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable, spec: ToxicSpec = ToxicSpe
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, hits (position, term, exact, quoted): one row per input row, whole texts.
 
-    Null and empty texts have no hits and the score of a text without any.
+    Null and empty texts have no hits and the score of a text without any.  Repeated rows are scored each; an empty
+    table gives no rows; columns other than the two are not looked at, whatever their names.
     """
     lexicon = model.lexicon
     parts = (lexicon.terms, lexicon.spec, frozenset(t for t in lexicon.terms if not _in_trie(lexicon, t)), model.weights)

@@ -1,5 +1,8 @@
 """Toxicity and language: automaton against brute force, held-out accuracy, edges."""
 
+import math
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -63,6 +66,68 @@ def test_toxicity_held_out(spark, sf01):
     assert out.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
 
 
+def brute_score(text, model, near):
+    """The score by plain loops over all words and all terms of the learned lexicon."""
+    lexicon, spec = model.lexicon, model.lexicon.spec
+    raw = text.lower().split()
+    bare = [w if w.isalnum() else w.strip(toxicity._STRIP) for w in raw]
+    fuzzy = [t for t in lexicon.terms if toxicity._in_trie(lexicon, t)]
+
+    def term(word):
+        if (word, False) in lexicon.terms:
+            return (word, False), True
+        stems = sorted((t for t in lexicon.terms if t[1] and word.startswith(t[0])), key=lambda t: len(t[0]))
+        if stems:
+            return stems[0], True
+        close = sorted((near(word, t[0]), t) for t in fuzzy if abs(len(word) - len(t[0])) < 2)
+        return (close[0][1], False) if close and close[0][0] <= 1 else None
+
+    found = [(i, *hit) for i, hit in enumerate(map(term, bare)) if hit]
+    sums = dict.fromkeys(toxicity.NAMES[:4], 0.0)
+    for i, t, exact in found:
+        around = range(max(0, i - spec.window), min(len(raw), i + spec.window + 1))
+        quoted = toxicity._between_marks(raw[max(0, i - spec.window) : i], raw[i], raw[i + 1 : i + 1 + spec.window]) or any(raw[j].strip(toxicity._STRIP) in toxicity.REPORTING for j in around)
+        sums["quoted" if quoted else "exact" if exact else "fuzzy"] += lexicon.terms[t]
+        sums["close"] += not quoted and any(abs(i - j) <= spec.window for j, *_ in found if j != i)
+    x = [math.log1p(sums[n]) for n in toxicity.NAMES[:4]] + [math.log1p(100 * len(found) / max(1, len(raw)))]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.weights[0] + float(np.dot(model.weights[1:], x))))))
+
+
+def test_toxicity_against_plain_loops(spark):
+    """The registered query's scores over a whole table, each worked out again by brute force from the lexicon and weights it learned."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn(docs, labels, lambda c: toxicity.id_remainder(c, 3) != 1)
+    assert model.lexicon.terms
+    memo = {}
+    near = lambda w, t: memo.setdefault((w, t), None) or memo.__setitem__((w, t), osa(w, t)) or memo[w, t]
+    want = {r.doc_id: brute_score(r.text or "", model, near) for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op2_toxicity(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d][0] - s) < 1e-6 for d, s in want.items())
+    assert all(p == (s >= 0.7) for s, p in got.values()) and sum(p for _, p in got.values()) > 10
+
+
+def test_long_abusive_text():
+    """A hit's neighbours are found by search: sixteen times the hits take about sixteen times the time."""
+    took = []
+    for n in (5_000, 80_000):
+        began = time.process_time()
+        words, found = toxicity.hits("idiot word " * n, LEX)
+        took.append(time.process_time() - began)
+        assert words == 2 * n and len(found) == n and {h[4] for h in found[10:-10]} == {6}
+    assert took[1] < 48 * took[0] + 0.5
+
+
+def test_repeated_rows_teach_once(spark):
+    """Where repeated rows swell the sample past twice its bound, each id is one document."""
+    texts = [(i, f"you idiot {i}" if i % 4 == 0 else f"a kind word {i}") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    spec = toxicity.ToxicSpec(max_train=120, min_gain=10.0)
+    once, often = (toxicity.learn(spark.createDataFrame(texts * k, "doc_id long, text string"), labels, lambda c: F.lit(True), spec) for k in (1, 4))
+    assert once.lexicon.terms == often.lexicon.terms and ("idiot", False) in {(t.rstrip(toxicity.STEM), False) for t, _ in once.lexicon.terms}
+    assert np.allclose(once.weights, often.weights)
+
+
 def test_toxicity_edges(spark, edge_docs):
     labels = spark.createDataFrame([(0, 1, 0), (5, 1, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(edge_docs, labels, lambda c: F.lit(True))
