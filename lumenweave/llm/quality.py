@@ -110,9 +110,9 @@ def cutoffs(labelled: DataFrame, spec: QualitySpec) -> DataFrame:
     # Position in the grid of the loosest cutoff that the measure reaches; the grid's size when none.
     cell = lambda m: F.size(F.filter(grid, lambda g: g > F.col(m)))
     long = labelled.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), cell(f"m_{r}").alias("cell")) for r in spec.rules])).alias("x")).select("stratum", "x.*")
-    hits = long.groupBy("stratum", "rule", "cell").agg(F.count("*").alias("hits"))
+    hits = materialize(long.groupBy("stratum", "rule", "cell").agg(F.count("*").alias("hits")), "grid-counts")
+    strata = F.lit(hits.select("stratum").distinct().count())
     totals = hits.groupBy("stratum", "rule").agg(F.sum("hits").alias("n"), F.collect_list(F.struct("cell", "hits")).alias("by_cell"))
-    strata = F.size(F.collect_set(F.coalesce(F.col("stratum"), F.lit("\0"))).over(Window.partitionBy(F.lit(0))))
     steps = totals.withColumn("level", F.lit(spec.delta) / (strata * len(spec.rules))).select(
         "stratum", "rule", "n", "level", "by_cell", F.posexplode(grid).alias("step", "cutoff")
     )
@@ -144,7 +144,8 @@ def judge(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     table = materialize(measured(counted, spec), "quality")
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("label_id")).distinct()
     holdout = table.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("label_id"), "left_semi")
-    found = cutoffs(holdout.select("stratum", *[f"m_{r}" for r in spec.rules]), spec).groupBy("stratum").pivot("rule", list(spec.rules)).agg(F.min("cutoff"))
+    once = holdout.groupBy("doc_id").agg(F.min(F.struct("stratum", *[f"m_{r}" for r in spec.rules])).alias("x"))
+    found = cutoffs(once.select("x.*"), spec).groupBy("stratum").pivot("rule", list(spec.rules)).agg(F.min("cutoff"))
     found = materialize(found.select(F.col("stratum").alias("c_stratum"), *[F.col(r).alias(f"c_{r}") for r in spec.rules]), "cutoffs")
     found = F.broadcast(found) if found.count() <= MOST_STRATA else found
     judged = table.join(found, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
