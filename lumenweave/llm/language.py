@@ -135,7 +135,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     A text that is null, empty or without a letter is ``und`` with score 0, as
     is every text where no language was learned.  Ties go to the first language
-    in code-point order.
+    in code-point order.  Repeated rows are judged each; an empty table gives no
+    rows.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)

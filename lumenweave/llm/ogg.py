@@ -170,7 +170,11 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 1 << 23) -> I
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, media: every whole text's UTF-8 bytes as an Ogg file.  A null text is empty: one frame of padding."""
+    """doc_id, media: every whole text's UTF-8 bytes as an Ogg file.  A null text is empty: one frame of padding.
+
+    One row per input row, repeated ones and null ids included; an empty table gives no rows; columns other than the two
+    are not looked at, whatever their names.
+    """
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
@@ -182,7 +186,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def from_media(media: DataFrame) -> DataFrame:
     """doc_id, media, payload, n_bytes, feature, error: what the stored bytes hold, read and verified.
 
-    A damaged file has an error and null for what it should hold; a null one is null throughout.
+    A damaged file has an error and null for what it should hold; a null one is null throughout.  One row per input
+    row, in any order; an empty table gives no rows.
     """
 
     def run(batches):
