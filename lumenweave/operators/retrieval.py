@@ -24,7 +24,7 @@ def scored(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col:
     terms = sorted(set(query))
     times = lambda q: F.size(F.filter("_w", lambda t: t == q))
     count = [times(q).alias(f"tf{i}") for i, q in enumerate(terms)]
-    sized = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_w")).select(id_col, F.size("_w").alias("len"), *count, *[c.alias(name) for name, c in extra.items()])
+    sized = docs.select(F.col(id_col), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_w")).select(id_col, F.size("_w").alias("len"), *count, *[c.alias(name) for name, c in extra.items()])
     sized = written(sized, "term-counts")
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, mean = stats["n"], stats["avg"] or 1.0
