@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenweave.functions import responses
+from lumenweave.operators import variants
 
 from .labels import pick
 from .registry import query
@@ -58,3 +59,42 @@ def payload_records(t):
     raw = F.when(F.col("c_custkey") % 5 == 4, '{"records": {"index": 1}}').otherwise(F.concat(pick("c_custkey", '{"records": ', '{"outcomes": '), list_, F.lit("}")))
     rows = t.customer.select("c_custkey", F.posexplode(responses.records(raw)).alias("record", "r"))
     return rows.select("c_custkey", "record", "r.source_index", "r.normalized_outcome_name", F.col("r.normalized_measurement_instrument").alias("instrument"), "r.annotation_status", F.array_join("r.gold_row_ids", ",").alias("gold_row_ids"))
+
+
+NESTED = """j AS (SELECT l_orderkey AS id, json_object('order', json_object('status', any_value(o_orderstatus), 'clerk', NULL, 'codes', [min(l_linenumber), max(l_linenumber)], 'lines',
+list(json_object('part', l_partkey, 'flags', [l_returnflag, l_linestatus], 'evidence', [json_object('q', l_suppkey), json_object('q', 1)], 'deep', json_object('a', [json_object('b', [[l_suppkey], [1, 2]])])) ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)), 'empty', json_object(), 'none', []) AS j
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)"""
+
+
+@query("pf25_recursive_flatten", f"""WITH {NESTED}, t AS (SELECT j.id, replace(x.fullkey, '"', '') AS k, x.type, x.value, x.atom, x.key FROM j, json_tree(j.j) x),
+leaf AS (SELECT id, k, CASE WHEN key = 'evidence' THEN 'evidence' WHEN type = 'ARRAY' THEN 'list' ELSE 'value' END AS kind, CASE WHEN key = 'evidence' THEN json_array_length(value)::VARCHAR WHEN type = 'ARRAY' THEN value::VARCHAR WHEN type = 'NULL' THEN NULL ELSE value ->> '$' END AS value
+  FROM t WHERE k <> '$' AND type <> 'OBJECT' AND NOT contains(k, '.evidence[') AND (type <> 'ARRAY' OR key = 'evidence' OR NOT contains(value::VARCHAR, '{{') AND NOT contains(substr(value::VARCHAR, 2), '['))
+  AND (type = 'ARRAY' OR NOT regexp_matches(k, '\\]$')))
+SELECT id, substr(k, 3) AS path, kind, value FROM leaf""")
+def recursive_flatten(t):
+    """Orders with their lines as nested JSON, as rows again: objects in lists in objects, lists of lists, evidence counted."""
+    line = F.struct(
+        F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("flags"), F.array(F.struct(F.col("l_suppkey").alias("q")), F.struct(F.lit(1).cast("long").alias("q"))).alias("evidence"),
+        F.struct(F.array(F.struct(F.array(F.array("l_suppkey"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("b"))).alias("a")).alias("deep"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", line.alias("line"))))
+    grouped = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.first("o_orderstatus").alias("status"), F.array(F.min("l_linenumber"), F.max("l_linenumber")).alias("codes"), F.transform(ordered, lambda x: x["line"]).alias("lines")
+    )
+    order = F.struct("status", F.lit(None).cast("string").alias("clerk"), "codes", "lines").alias("order")
+    nested = F.to_json(F.struct(order, F.lit(None).cast("string").alias("empty"), F.array().cast("array<string>").alias("none")), {"ignoreNullFields": "false"})
+    texts = grouped.select("id", F.regexp_replace(nested, r'"empty":null', r'"empty":{}').alias("j"))
+    return variants.flatten(texts, ["id"], "j")
+
+
+@query("aj09_alias_pick", """WITH j AS (SELECT event_id, json(CASE event_id % 4 WHEN 0 THEN '{"label": "L' || user_id || '", "name": null}' WHEN 1 THEN '{"title": "T", "label": ' || user_id || '}' WHEN 2 THEN props ELSE '{"name": {"x": [' || user_id || ', null]}}' END) AS j FROM events)
+SELECT event_id, CASE WHEN list_contains(json_keys(j), 'name') THEN j ->> 'name' WHEN list_contains(json_keys(j), 'label') THEN j ->> 'label' WHEN list_contains(json_keys(j), 'k') THEN j ->> 'k' END AS value FROM j""")
+def alias_pick(t):
+    """The first key present of name, label and k, even where its value is null."""
+    user = F.col("user_id").cast("string")
+    kind = F.col("event_id") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"label": "L'), user, F.lit('", "name": null}'))).when(kind == 1, F.concat(F.lit('{"title": "T", "label": '), user, F.lit("}")))
+        .when(kind == 2, F.col("props")).otherwise(F.concat(F.lit('{"name": {"x": ['), user, F.lit(", null]}}")))
+    )
+    return t.events.select("event_id", variants.first_present(F.parse_json(text), "name", "label", "k").alias("value"))
