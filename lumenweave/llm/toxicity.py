@@ -13,6 +13,7 @@ these sums gives the score.
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
 from .tokens import slices
 
 #: Words and marks that report speech.
@@ -54,8 +56,8 @@ class Lexicon:
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.trie: dict = {}
         # A word near a term keeps a half of it at that end, or the halves' middle is swapped; and few letters differ.
-        self.heads: dict[str, list[tuple[int, int]]] = {}
-        self.tails: dict[str, list[tuple[int, int]]] = {}
+        # By the word's length: the halves at either end, by their size, with the letters of the terms that have them.
+        self.halves: dict[int, tuple[dict, dict]] = {}
         for (text, stem), _ in terms.items():
             if stem or len(text) < spec.min_fuzzy or (text, stem) in no_fuzzy:
                 continue
@@ -65,21 +67,19 @@ class Lexicon:
             node[None] = (text, False)
             m = len(text) // 2
             for t in (text, text[: m - 1] + text[m] + text[m - 1] + text[m + 1 :]):
-                self.heads.setdefault(t[:m], []).append((len(text), _letters(text)))
-                self.tails.setdefault(t[m:], []).append((len(text), _letters(text)))
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(h) for h in self.tails})
+                for n in (len(t) - 1, len(t), len(t) + 1):
+                    heads, tails = self.halves.setdefault(n, ({}, {}))
+                    heads.setdefault(m, {}).setdefault(t[:m], set()).add(_letters(text))
+                    tails.setdefault(len(t) - m, {}).setdefault(t[m:], set()).add(_letters(text))
         self.memo = _Memo(self._find)
 
     def _may_be_near(self, word: str) -> bool:
-        n, letters = len(word), 0
-        for side, sizes, part in ((self.heads, self.head_sizes, lambda k: word[:k]), (self.tails, self.tail_sizes, lambda k: word[-k:])):
-            for k in sizes:
-                for size, own in side.get(part(k), ()):
-                    if -2 < n - size < 2:
-                        letters = letters or _letters(word)
-                        if (letters ^ own).bit_count() <= 2:
-                            return True
-        return False
+        heads, tails = self.halves.get(len(word), ({}, {}))
+        some = [own for k, at in heads.items() if (own := at.get(word[:k]))] + [own for k, at in tails.items() if (own := at.get(word[-k:]))]
+        if not some:
+            return False
+        letters = _letters(word)
+        return any((letters ^ x).bit_count() <= 2 for own in some for x in own)
 
     def near(self, word: str, most: int = 1) -> tuple[str, bool] | None:
         """The term of least distance within ``most`` edits, by walking the trie along the automaton."""
@@ -107,15 +107,14 @@ class Lexicon:
         return self.memo[word]
 
     def _find(self, word: str) -> tuple[tuple[str, bool], bool] | None:
-        return self._find_plain(word if word.isalnum() else word.strip(_STRIP))
-
-    def _find_plain(self, word: str) -> tuple[tuple[str, bool], bool] | None:
+        if not word.isalnum():
+            word = word.strip(_STRIP)
         if word in self.words:
             return (word, False), True
         for n in self.stem_sizes:
             if word[:n] in self.stems:
                 return (word[:n], True), True
-        if self.trie and self._may_be_near(word) and (near := self.near(word)):
+        if len(word) in self.halves and self._may_be_near(word) and (near := self.near(word)):
             return near, False
         return None
 
@@ -358,8 +357,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("position", pa.int64()), ("term", pa.string()), ("exact", pa.bool_()), ("quoted", pa.bool_())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("hits", kind)])
 
+    token = uuid.uuid4().hex
+
     def run(batches):
-        own = Model(Lexicon(*parts[:3]), parts[3])
+        # A worker keeps the lexicon, and what it has found by word, from task to task.
+        own = worker_state(("toxicity", token), lambda: Model(Lexicon(*parts[:3]), parts[3]))
         for batch in batches:
             for ids, texts in slices(batch):
                 got = [own.score(t) for t in texts]
