@@ -1,4 +1,4 @@
-"""Queries that are answered from a stored index."""
+"""Queries over stored tables: an inverted index, keyed tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenweave.operators import inverted
 from lumenweave.plans.registry import query
 from lumenweave.shared import fresh_path
+from lumenweave.sources.keyed import KeyedTable
 
 WORDS = "w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 1) AS w FROM documents)"
 
@@ -42,3 +43,19 @@ def indexed_search(t):
         found = inverted.search(spark, path, words, 20).select(F.lit(name).alias("question"), F.col("doc").alias("doc_id"), "score")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@query("sk02_sk03_bucketed_upsert", """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'changed' WHEN o_orderkey % 50 = 3 THEN 'late' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders
+UNION ALL SELECT -o_orderkey, 'new', o_totalprice FROM orders WHERE o_orderkey % 100 = 7""")
+def bucketed_upsert(t):
+    """All orders as a keyed table; then one percent of them changed and as many added, and last of two rows a key the later."""
+    orders = t.orders
+    table = KeyedTable(orders.sparkSession, fresh_path(orders.sparkSession, "keyed"), ["o_orderkey"])
+    row = lambda df, key, state, price, at: df.select(key.alias("o_orderkey"), state.alias("state"), price.alias("price"), F.lit(at).alias("at"))
+    key, state, price = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_totalprice")
+    table.upsert(row(orders, key, state, price, 0))
+    some = orders.filter("o_orderkey % 100 = 7")
+    table.upsert(row(some, key, F.lit("changed"), price + 1, 1).unionByName(row(some, -key, F.lit("new"), price, 1)))
+    late = orders.filter("o_orderkey % 50 = 3")
+    table.upsert(row(late, key, F.lit("late"), price, 3).unionByName(row(late, key, F.lit("early"), price, 2)), order=["at"])
+    return table.read().select("o_orderkey", "state", "price")
