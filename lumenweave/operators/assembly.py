@@ -78,10 +78,15 @@ def graph_json(entities: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def tree_digest(files: DataFrame, root: str) -> DataFrame:
-    """(digest, n): one SHA-256 of a folder read by ``binaryFile``: of its files' relative paths and contents, in order of paths."""
+    """(digest, n): one SHA-256 of a tree of folders read by ``binaryFile``.
+
+    Each folder's digest is of its own files' names and contents in order of names; the tree's, of all folders' relative
+    paths and digests in order of paths.  So no row holds more than one folder's files or all folders.
+    """
     relative = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
-    lines = files.select(F.concat_ws(" ", relative, F.sha2("content", 256)).alias("line"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    named = files.select(F.regexp_extract(relative, "^(.*/)?([^/]*)$", 1).alias("folder"), F.concat_ws(" ", F.regexp_extract(relative, "([^/]*)$", 1), F.sha2("content", 256)).alias("line"))
+    folders = named.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"), F.count("*").alias("k"))
+    return folders.select(F.concat_ws(" ", "folder", "d").alias("line"), "k").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.sum("k").alias("n"))
 
 
 def field_struct(status: str, value: str, raw: str, evidence: str) -> Column:

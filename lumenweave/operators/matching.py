@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,15 @@ def unique_safe(edges: DataFrame, left: str, right: str, safe: str | None = None
     """``edges`` with ``accepted``: both ends have this one edge, and it is safe.
 
     All viable edges count for the degrees; safety is asked only afterwards, so
-    that an uncertain competitor blocks and never wins.
+    that an uncertain competitor blocks and never wins.  Each end is aggregated,
+    and what either end holds alone is met by both, so that no end with very
+    many edges gathers them in a task.  A null end is never accepted.
     """
-    degree = lambda c: F.count("*").over(Window.partitionBy(c))
     sure = F.col(safe) if safe else F.lit(True)
-    return edges.withColumn("accepted", (degree(left) == 1) & (degree(right) == 1) & sure)
+    alone = lambda end, other: edges.groupBy(end).agg(F.count("*").alias("_n"), F.min(other).alias(other)).filter("_n = 1").drop("_n")
+    pairs = alone(left, right).join(alone(right, left), [left, right]).withColumn("_one", F.lit(True))
+    out = edges.join(pairs, [left, right], "left")
+    return out.select(*edges.columns, (F.coalesce("_one", F.lit(False)) & sure).alias("accepted"))
 
 
 def unique_lookup(rows: DataFrame, aliases: DataFrame, key: str, value: str) -> DataFrame:

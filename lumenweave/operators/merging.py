@@ -55,15 +55,17 @@ def completeness(*columns: Column) -> Column:
     return sum((F.when(c.isNotNull(), 1).otherwise(0) for c in columns), F.lit(0))
 
 
-def group_labels(rows: DataFrame, keys: list[str], value: str, rank: list[Column], tolerance: float = 1e-9) -> DataFrame:
-    """Each group's representative by ``rank``, how it was chosen, and what its rows say.
+def group_labels(rows: DataFrame, keys: list[str], value: str, most: list[str], least: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Each group's representative, how it was chosen, and what its rows say.
 
-    status is conflict if values spread beyond the tolerance, duplicate if they
-    agree, single otherwise; unresolved without any value.
+    The representative is the row with the greatest ``most`` (numbers, null last), then the smallest ``least``.  status
+    is conflict if values spread beyond the tolerance, duplicate if they agree, single otherwise; unresolved without any
+    value.  Aggregates only, so that a group of any size is reduced task by task.
     """
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(*rank))).withColumn("n_rows", F.count("*").over(w))
-    ranked = ranked.withColumn("_spread", F.max(value).over(w) - F.min(value).over(w)).withColumn("_some", F.count(value).over(w))
-    status = F.when(F.col("_some") == 0, "unresolved").when(F.col("_spread") > tolerance, "conflict").when(F.col("n_rows") > 1, "duplicate").otherwise("single")
-    label = F.when(F.col("n_rows") == 1, "single").otherwise("most_complete")
-    return ranked.withColumn("status", status).withColumn("selection", label).filter("_n = 1").drop("_n", "_spread", "_some")
+    others = [c for c in rows.columns if c not in keys]
+    order = F.struct(*[x for c in most for x in (F.col(c).isNull().alias(f"no_{c}"), (-F.col(c)).alias(f"less_{c}"))], *least)
+    spread = F.max(value) - F.min(value)
+    status = F.when(F.count(value) == 0, "unresolved").when(spread > tolerance, "conflict").when(F.count("*") > 1, "duplicate").otherwise("single")
+    label = F.when(F.count("*") == 1, "single").otherwise("most_complete")
+    out = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row"), F.count("*").alias("n_rows"), status.alias("status"), label.alias("selection"))
+    return out.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in others], "n_rows", "status", "selection")

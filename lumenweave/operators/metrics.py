@@ -77,3 +77,33 @@ def registry_audit(registry: DataFrame, schema: DataFrame) -> DataFrame:
         .when(F.col("s_type").isNotNull() & (F.col("r_type") != F.col("s_type")), "TYPE_MISMATCH").otherwise("OK")
     )
     return both.select("field_id", finding.alias("finding"))
+
+
+#: How a field's classification counts among its kind's layers, and which root cause it belongs to.
+LAYERS = {"exact": ("EXACT",), "wrong_value": ("VALUE_WRONG",), "wrong_status": ("STATUS_WRONG", "FALSE_NR", "FALSE_PRESENT"), "not_extracted": ("NOT_EXTRACTED",), "entity_missing_cascade": ("ENTITY_MISSING",)}
+ROOTS = {"COVERAGE": ("NOT_EXTRACTED",), "VALUE": ("VALUE_WRONG",), "STATUS": ("FALSE_NR", "FALSE_PRESENT", "STATUS_WRONG"), "CONFLICT": ("SOURCE_CONFLICT_MISSED", "SOURCE_CONFLICT_SPURIOUS"), "EVIDENCE": ("EVIDENCE_UNGROUNDED",)}
+
+
+def benchmark_summary(fields: DataFrame, kinds: list[str]) -> DataFrame:
+    """(section, a, b, n) of judged fields (kind, classification, gold_status, matched, field), by one aggregation.
+
+    targets: fields by kind.  layer: fields with an ordinary status by kind and layer.  root: by root cause; a missing
+    entity's fields are losses of structure.  abstained: by field, where the entity was found and nothing was said.
+    Fields under review count nowhere; kinds, layers and causes without any count 0.
+    """
+    named = lambda table: F.coalesce(*[F.when(F.col("classification").isin(*c), F.lit(n)) for n, c in table.items()])
+    ordinary = F.col("gold_status").isin("PRESENT", "NOT_REPORTED", "NOT_APPLICABLE")
+    told = fields.filter("gold_status <> 'REVIEW_REQUIRED'").select(
+        "kind", F.when(ordinary, named(LAYERS)).alias("layer"), F.coalesce(F.when((F.col("classification") == "ENTITY_MISSING") & ~F.col("matched"), F.lit("STRUCTURE")), named(ROOTS)).alias("root"),
+        F.when(F.col("matched") & (F.col("classification") == "NOT_EXTRACTED"), F.col("field")).alias("abstained"),
+    )
+    sets = [[F.col("kind"), F.col("layer")], [F.col("kind")], [F.col("root")], [F.col("abstained")]]
+    by = [F.grouping(c).alias(f"no_{c}") for c in ("kind", "layer", "root", "abstained")]
+    counted = told.groupingSets(sets, "kind", "layer", "root", "abstained").agg(F.count("*").alias("n"), *by)
+    section = F.when(F.col("no_abstained") == 0, "abstained").when(F.col("no_root") == 0, "root").when(F.col("no_layer") == 0, "layer").otherwise("targets")
+    # A null that was grouped by, rather than left out of the grouping, is no layer, cause or abstention.
+    some = counted.filter(" AND ".join(f"(no_{c} = 1 OR {c} IS NOT NULL)" for c in ("layer", "root", "abstained")))
+    rows = some.select(section.alias("section"), F.coalesce("kind", "root", "abstained").alias("a"), F.col("layer").alias("b"), "n")
+    zeros = [("layer", k, n) for k in kinds for n in LAYERS] + [("targets", k, None) for k in kinds] + [("root", r, None) for r in ("STRUCTURE", *ROOTS)]
+    none = fields.sparkSession.createDataFrame(zeros, "section string, a string, b string").withColumn("n", F.lit(0).cast("long"))
+    return rows.unionByName(none).groupBy("section", "a", "b").agg(F.sum("n").alias("n"))

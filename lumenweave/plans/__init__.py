@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from . import assembly, binding, documents, entities, evaluation, identity, labels, linking, matching, responses, search, sequences  # noqa: F401  they register themselves
+from . import assembly, binding, contracts, documents, entities, evaluation, grids, identity, labels, linking, lookups, matching, requests, responses, search, sequences  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -56,8 +56,9 @@ def first_spelling(t):
 
 @query("wn08_rank_by_offset", """SELECT doc_id, word, rank() OVER (PARTITION BY doc_id ORDER BY p) AS place FROM (SELECT doc_id, word, strpos(lower(text), word) AS p FROM documents, (SELECT unnest(['copyright', 'licensed', 'rights', 'reserved', 'email']) AS word)) WHERE p > 0""")
 def rank_by_offset(t):
-    words = F.explode(F.array(*[F.lit(w) for w in ("copyright", "licensed", "rights", "reserved", "email")])).alias("word")
-    placed = t.documents.select("doc_id", F.lower("text").alias("x"), words).withColumn("p", F.expr("instr(x, word)")).filter("p > 0")
+    lower = t.documents.select("doc_id", F.lower("text").alias("x"))
+    places = F.array(*[F.struct(F.lit(w).alias("word"), F.instr("x", w).alias("p")) for w in ("copyright", "licensed", "rights", "reserved", "email")])
+    placed = lower.select("doc_id", F.explode(F.filter(places, lambda x: x["p"] > 0)).alias("w")).select("doc_id", "w.*")
     return placed.select("doc_id", "word", F.rank().over(Window.partitionBy("doc_id").orderBy("p")).alias("place"))
 
 

@@ -14,8 +14,9 @@ def test_tree_digest(spark, tmp_path):
     (tmp_path / "b" / "c.txt").write_bytes(b"two")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
     got = assembly.tree_digest(files, f"{tmp_path}/").first()
-    lines = "\n".join(sorted(f"{name} {hashlib.sha256(data).hexdigest()}" for name, data in (("a.txt", b"one"), ("b/c.txt", b"two"))))
-    assert (got.digest, got.n) == (hashlib.sha256(lines.encode()).hexdigest(), 2)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    folders = [f"{name} {sha(f'{file} {sha(data)}'.encode())}" for name, file, data in (("", "a.txt", b"one"), ("b/", "c.txt", b"two"))]
+    assert (got.digest, got.n) == (sha("\n".join(sorted(folders)).encode()), 2)
 
 
 def test_field_ids(spark):
