@@ -43,6 +43,14 @@ NOTICES = (
     Notice("licensed under cc by nc", "cc-by-nc", 1),
     Notice("licensed under cc by sa", "cc-by-sa", 1),
     Notice("creative commons attribution", "cc-by", 3),
+    Notice("gnu affero general public license", "agpl", 3),
+    Notice("you may not use this file except in compliance with the license", "apache", 5),
+    Notice("redistributions in binary form must reproduce the above copyright notice", "bsd", 5),
+    Notice("neither the name of the copyright holder nor the names of its contributors", "bsd-3-clause", 5),
+    Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 5),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    Notice("cc0 public domain dedication", "cc0", 2),
+    Notice("boost software license", "bsl", 2),
 )
 #: Bytes that are no part of a word become spaces, A-Z lower case; all others stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -1,6 +1,7 @@
 """Token-id files, packing, media columns and archives: exact round trips and brute-force answers."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -268,6 +269,20 @@ def test_notice_seeds_lose_nothing(edits, tail):
         assert edit_spans(text, notice.text, notice.errors)
 
 
+@pytest.mark.parametrize("notice", licences.NOTICES, ids=lambda n: n.text[:30])
+def test_every_notice_with_errors(notice):
+    """Whatever the edits, up to the notice's bound, it is found where it stands, with no more errors than were made."""
+    dice, scanner = random.Random(len(notice.text)), licences.Scanner(notices=(notice,))
+    for _ in range(60):
+        text, errors = notice.text, dice.randint(0, notice.errors)
+        for _ in range(errors):
+            at = dice.randrange(len(text))
+            text = text[:at] + dice.choice(["", "q", text[at] + "z"]) + text[at + 1 :]
+        before = " ".join(["word"] * dice.randrange(5))
+        found = scanner.scan(f"{before} {text} end".upper())["spans"]
+        assert found and found[0]["label"] == notice.label and found[0]["errors"] <= errors and found[0]["first_word"] <= len(before.split()), text
+
+
 def brute_license(text):
     import re
 
