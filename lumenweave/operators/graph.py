@@ -3,31 +3,81 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.shared import written
+from lumenweave.shared import drop_path, written
+
+
+#: Edges that a task puts together before it sends on what they connect.
+CONTRACTED = 1 << 18
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v): every node with another, or itself, that it is connected with: a forest of each task's edges."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        above: dict = {}
+
+        def root(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        def flush(schema):
+            nodes = list(above)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, schema.field(0).type), pa.array([root(x) for x in nodes], schema.field(0).type)], names=["u", "v"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                above.setdefault(a, a)
+                above.setdefault(b, b)
+                a, b = root(a), root(b)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+            if len(above) >= CONTRACTED:
+                yield flush(schema)
+                above.clear()
+        if above:
+            yield flush(schema)
+
+    return edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """Each node's larger neighbours, or else its smaller ones and itself, connected with the least of them."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.filter("v <= u") if small else both
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    moved = (near if small else both.filter("v > u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if small:
+        moved = moved.union(least.select("u", F.col("m").alias("v")))
+    return moved.filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v); the component is its least node.
+    """(node, component) of every node of ``edges`` (u, v); the component is its least node.  Edges with a null end are none.
 
-    Each round takes the least label among a node's neighbours and then the
-    label's own label, so that chains shorten by half and more; labels are
-    aggregated, never gathered, and written out each round.
+    Tasks first put together what their own edges connect, so that one edge a node goes on.  Then each round connects
+    a node's larger neighbours and then its smaller ones with the least of them, until every component is a star: one
+    join and two aggregates a step, neighbours never gathered, and the edges written out each round.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component")).withColumnRenamed("u", "node"), "labels")
+    first = written(_contracted(edges), "edges")
+    stars, mark = written(first.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars"), None
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("m"))
-        moved = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("component", "m").alias("c"))
-        up = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-        again = written(moved.join(up, F.col("c") == F.col("p"), "left").select("node", F.least("c", F.coalesce("pc", "c")).alias("component")), "labels")
-        changed = again.join(labels.withColumnRenamed("component", "before"), "node").filter("component <> before").isEmpty()
-        labels = again
-        if changed:
-            return labels
+        row = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (row["n"], row["h"]) == mark:
+            break
+        mark, again = (row["n"], row["h"]), written(_star(_star(stars, small=False), small=True), "stars")
+        drop_path(edges.sparkSession, stars)
+        stars = again
+    # In stars every node but its component's least has one edge, which leads there.
+    nodes = first.select(F.col("u").alias("node")).distinct()
+    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def component_shapes(edges: DataFrame) -> DataFrame:
