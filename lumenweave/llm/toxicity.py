@@ -71,6 +71,9 @@ class Lexicon:
                     heads, tails = self.halves.setdefault(n, ({}, {}))
                     heads.setdefault(m, {}).setdefault(t[:m], set()).add(_letters(text))
                     tails.setdefault(len(t) - m, {}).setdefault(t[m:], set()).add(_letters(text))
+        # Whatever is found begins like a term, or like the halves at a head, or ends like those at a tail.
+        self.firsts = {t[:2] for t, _ in terms} | {h[:2] for heads, _ in self.halves.values() for at in heads.values() for h in at}
+        self.lasts = {t[-2:] for _, tails in self.halves.values() for at in tails.values() for t in at}
         self.memo = _Memo(self._find)
 
     def _may_be_near(self, word: str) -> bool:
@@ -109,6 +112,8 @@ class Lexicon:
     def _find(self, word: str) -> tuple[tuple[str, bool], bool] | None:
         if not word.isalnum():
             word = word.strip(_STRIP)
+        if word[:2] not in self.firsts and word[-2:] not in self.lasts:
+            return None
         if word in self.words:
             return (word, False), True
         for n in self.stem_sizes:
