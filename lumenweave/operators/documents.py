@@ -39,10 +39,14 @@ def routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+#: Fixed value: how watermarks of publishers begin, in lower case.
+WATERMARK = r"^(?:accepted manuscript|copyright|doi:\s*10\.|www\.|preprint)\b"
+
+
 def boilerplate(blocks: DataFrame, group: str, page: str, content: str) -> DataFrame:
-    """``blocks`` with ``is_boilerplate``: empty, a page number, or short and on most pages (three at least)."""
+    """``blocks`` with ``is_boilerplate``: empty, a page number, a watermark, or short and on most pages (three at least)."""
     key = F.lower(collapse(F.col(content)))
-    plain = (F.col("_text") == "") | F.col("_text").rlike(r"^(page )?[0-9]+$")
+    plain = (F.col("_text") == "") | F.col("_text").rlike(r"^(page )?[0-9]+$") | F.col("_text").rlike(WATERMARK)
     # Lines are counted by their keys' hashes and lengths; only those on most pages, a few a group, meet the lines again.
     keyed = blocks.withColumn("_text", key).withColumns({"_plain": plain, "_key": F.xxhash64("_text"), "_size": F.length("_text")}).drop("_text")
     total = blocks.groupBy(group).agg(F.count_distinct(F.col(page)).alias("_pages"))

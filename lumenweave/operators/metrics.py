@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of grades and of findings.
@@ -107,3 +107,17 @@ def benchmark_summary(fields: DataFrame, kinds: list[str]) -> DataFrame:
     zeros = [("layer", k, n) for k in kinds for n in LAYERS] + [("targets", k, None) for k in kinds] + [("root", r, None) for r in ("STRUCTURE", *ROOTS)]
     none = fields.sparkSession.createDataFrame(zeros, "section string, a string, b string").withColumn("n", F.lit(0).cast("long"))
     return rows.unionByName(none).groupBy("section", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def bucket_counts(rows: DataFrame, bucket: str, names: list[str], id_col: str, most_ids: int = 5) -> DataFrame:
+    """(bucket, n, ids): every named bucket, those without rows too, and its first ids; rows of other buckets are left out.
+
+    A report's lists are short: at most ``most_ids`` of a bucket, which each task brings down to before they meet.
+    """
+    known = rows.filter(F.col(bucket).isin(*names)).select(F.col(bucket).alias("bucket"), F.col(id_col).alias("id"))
+    order = Window.partitionBy("bucket").orderBy("id")
+    first = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most_ids).groupBy("bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    counted = known.groupBy("bucket").agg(F.count("*").alias("n")).join(first, "bucket")
+    every = rows.sparkSession.createDataFrame([(n,) for n in names], "bucket string")
+    kind = counted.schema["ids"].dataType
+    return every.join(F.broadcast(counted), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array().cast(kind)).alias("ids"))

@@ -21,7 +21,7 @@ def profile_and_route(t):
 
 @query("pf02_pf10_repeated_lines", """WITH l AS (SELECT source, doc_id, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS k FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
 o AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM l GROUP BY source, k), p AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source)
-SELECT source, count(*) AS n_lines, count(*) FILTER (k = '' OR regexp_matches(k, '^(page )?[0-9]+$') OR (o.n >= greatest(3, ceil(6e-1 * p.n)) AND length(k) < 180)) AS n_boilerplate FROM l JOIN o USING (source, k) JOIN p USING (source) GROUP BY source""")
+SELECT source, count(*) AS n_lines, count(*) FILTER (k = '' OR regexp_matches(k, '^(page )?[0-9]+$') OR regexp_matches(k, '^(?:accepted manuscript|copyright|doi:\\s*10\\.|www\\.|preprint)\\b') OR (o.n >= greatest(3, ceil(6e-1 * p.n)) AND length(k) < 180)) AS n_boilerplate FROM l JOIN o USING (source, k) JOIN p USING (source) GROUP BY source""")
 def repeated_lines(t):
     blocks = t.documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("content"))
     judged = documents.boilerplate(blocks, "source", "doc_id", "content")

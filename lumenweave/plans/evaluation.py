@@ -145,3 +145,14 @@ def source_summary(t):
 @query("ag35_unresolved_missingness", f"WITH {GOLD} SELECT doc_id, source, gold_status FROM f WHERE gold_status = 'NOT_REPORTED' AND pred_status = 'UNRESOLVED'")
 def unresolved_missingness(t):
     return targets(t).filter("gold_status = 'NOT_REPORTED' AND pred_status = 'UNRESOLVED'").select("doc_id", "source", "gold_status")
+
+
+BUCKETS = ["ENTITY_MISSING", "NOT_EXTRACTED", "VALUE_WRONG", "FALSE_PRESENT", "FALSE_NR", "STATUS_WRONG", "SOURCE_CONFLICT_MISSED", "SOURCE_CONFLICT_SPURIOUS", "EVIDENCE_UNGROUNDED"]
+
+
+@query("ag05_ag33_ag36_all_buckets", f"""WITH {GOLD}, b AS (SELECT unnest({BUCKETS}) AS bucket), i AS (SELECT outcome, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY doc_id) <= 5)
+SELECT bucket, (SELECT count(*) FROM f WHERE outcome = bucket) AS n, coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM i WHERE outcome = bucket), '') AS ids FROM b""")
+def all_buckets(t):
+    """Every kind of failure with its number and first ids, kinds that never occur included."""
+    found = metrics.bucket_counts(targets(t), "outcome", BUCKETS, "doc_id")
+    return found.select("bucket", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenweave.operators import inverted
+from lumenweave.functions.text import tokens
+from lumenweave.operators import answers, inverted, retrieval
 from lumenweave.plans.registry import query
+from lumenweave.plans.sequences import BM25, TERMS, VEC
 from lumenweave.shared import fresh_path
 from lumenweave.sources.keyed import KeyedTable
 
@@ -45,6 +47,27 @@ def indexed_search(t):
     return out
 
 
+POOLED = f"""WITH {BM25}, {VEC}, qv AS (SELECT (('0x' || substr(md5(term), 1, 8))::BIGINT) % 256 AS d, times::DOUBLE AS n FROM q), ql AS (SELECT sqrt(sum(n * n)) AS len FROM qv),
+k AS (SELECT doc_id, sum(c.n * qv.n) / any_value(z.len) / any_value(ql.len) AS cos FROM c JOIN qv USING (d) JOIN z USING (doc_id), ql GROUP BY doc_id),
+p AS (SELECT doc_id, round(score, 6) AS initial FROM b WHERE score > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT 60)
+SELECT coalesce(source, 'NR') || '/' || doc_id AS citation_id, initial, round(least(1, greatest(0, cos)), 6) AS score FROM p JOIN k USING (doc_id) JOIN documents USING (doc_id) WHERE cos >= 2e-2 ORDER BY round(least(1, greatest(0, cos)), 6) DESC, initial DESC, doc_id LIMIT 10"""
+
+
+@query("tk04_tk13_pool_rerank", POOLED)
+def pool_rerank(t):
+    """A pool of 60 from the index, scored again by hashed vectors; what is not near goes, and the ten best are cited by source.
+
+    Only the pool's texts are read a second time.
+    """
+    docs = t.documents
+    pool = inverted.search(docs.sparkSession, stored_index(docs), TERMS, 60).select(F.col("doc").alias("doc_id"), F.col("score").alias("initial"))
+    held = docs.select("doc_id", "source", "text").join(F.broadcast(pool), "doc_id")
+    cos = retrieval.hashed_cosine(retrieval.hashed_places(tokens(F.col("text"))), TERMS)
+    again = answers.rerank(held.select("doc_id", "source", "initial", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("double").alias("score"), cos.alias("cos")).filter("cos >= 0.02"), F.round("cos", 6))
+    best = retrieval.top_k(again, 10, F.desc("score"), F.desc("initial"), F.asc("doc_id"))
+    return best.select(F.concat_ws("/", F.coalesce("source", F.lit("NR")), F.col("doc_id").cast("string")).alias("citation_id"), "initial", "score")
+
+
 @query("sk02_sk03_bucketed_upsert", """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'changed' WHEN o_orderkey % 50 = 3 THEN 'late' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders
 UNION ALL SELECT -o_orderkey, 'new', o_totalprice FROM orders WHERE o_orderkey % 100 = 7""")
 def bucketed_upsert(t):
