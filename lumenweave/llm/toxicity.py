@@ -85,25 +85,41 @@ class Lexicon:
         return any((letters ^ x).bit_count() <= 2 for own in some for x in own)
 
     def near(self, word: str, most: int = 1) -> tuple[str, bool] | None:
-        """The term of least distance within ``most`` edits, by walking the trie along the automaton."""
-        best, n = None, len(word)
-        stack = [(self.trie, tuple(range(n + 1)), None, "")]
+        """The term of least distance within ``most`` edits, by walking the trie along the automaton.
+
+        A state is the part of the row of distances that can still matter: those of path and word whose lengths differ
+        by at most ``most``.
+        """
+        best, n, far, width = None, len(word), most + 1, 2 * most + 1
+        stack = [(self.trie, 0, tuple(max(j, 0) if j >= 0 else far for j in range(-most, most + 1)), None, "")]
         while stack:
-            node, row, before, last = stack.pop()
-            if None in node:
-                best = min(best or (most + 1,), (row[-1], *node[None]))
+            node, depth, row, before, last = stack.pop()
+            if None in node and -most <= n - depth <= most and row[n - depth + most] <= most:
+                best = min(best or (far,), (row[n - depth + most], *node[None]))
+            depth += 1
             for c, child in node.items():
                 if c is None:
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    cost = min(new[-1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
-                        cost = min(cost, before[j - 2] + 1)
-                    new.append(cost)
+                new, left = [], far
+                for t in range(width):
+                    j = depth - most + t
+                    if j < 0 or j > n:
+                        left = far
+                    elif j == 0:
+                        left = min(far, depth)
+                    else:
+                        cost = row[t] if word[j - 1] == c else row[t] + 1
+                        if left < cost:
+                            cost = min(cost, left + 1)
+                        if t + 1 < width and row[t + 1] < cost:
+                            cost = min(cost, row[t + 1] + 1)
+                        if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == c and before[t] < cost:
+                            cost = min(cost, before[t] + 1)
+                        left = min(far, cost)
+                    new.append(left)
                 if min(new) <= most:
-                    stack.append((child, tuple(new), row, c))
-        return best[1:] if best and best[0] <= most else None
+                    stack.append((child, depth, tuple(new), row, c))
+        return best[1:] if best else None
 
     def find(self, word: str) -> tuple[tuple[str, bool], bool] | None:
         """(term, exact) of a word as it stands in a text, marks at its ends left aside; or None."""
