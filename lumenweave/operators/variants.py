@@ -11,8 +11,13 @@ from lumenweave.shared import drop_path, written
 COUNTED = "evidence"
 
 
-def _starts(value: Column, *marks: str) -> Column:
-    return F.substring(F.to_json(value), 1, 1).isin(*marks)
+def _items(value: Column) -> Column:
+    """A list's elements; null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def first_present(value: Column, *names: str) -> Column:
@@ -49,7 +54,7 @@ def flatten(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
         of_objects = inner.filter("kind = 'object'").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child"))
         stem = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
         fields = of_objects.select(*keys, F.concat(stem, "name").alias("path"), F.col("name").alias("key"), F.col("child").alias("v"))
-        items = inner.filter("kind = 'nested'").select(*keys, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "child"))
+        items = inner.filter("kind = 'nested'").select(*keys, "path", F.posexplode("items").alias("pos", "child"))
         items = items.select(*keys, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), F.lit("").alias("key"), F.col("child").alias("v"))
         again = written(fields.unionByName(items), "frontier")
         drop_path(spark, frontier)
@@ -58,12 +63,11 @@ def flatten(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
 
 def _told(frontier: DataFrame) -> DataFrame:
     """``frontier`` with what each value is."""
-    items = F.when(_starts(F.col("v"), "["), F.try_variant_get("v", "$", "array<variant>"))
-    seen = frontier.select("*", items.alias("items"))
-    nested = F.exists("items", lambda x: _starts(x, "{", "["))
+    seen = frontier.select("*", _items(F.col("v")).alias("items"))
+    nested = F.exists("items", lambda x: _is_object(x) | _items(x).isNotNull())
     kind = (
         F.when(F.col("v").isNull(), "unreadable").when(F.col("items").isNotNull() & (F.col("key") == COUNTED), "evidence").when(nested, "nested")
-        .when(F.col("items").isNotNull(), "list").when(_starts(F.col("v"), "{"), "object").otherwise("value")
+        .when(F.col("items").isNotNull(), "list").when(_is_object(F.col("v")), "object").otherwise("value")
     )
     value = F.when(F.col("kind") == "evidence", F.size("items").cast("string")).when(F.col("kind") == "list", F.to_json("v")).when(F.col("kind") == "value", F.col("v").cast("string"))
     return seen.select("*", kind.alias("kind")).select("*", value.alias("value"))
