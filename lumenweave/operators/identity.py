@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +42,34 @@ def complete_link(pairs: DataFrame, nodes: DataFrame, block: str, node: str) ->
     so groups are no components.  Blocks are one study's few outcomes.
     """
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        allowed = {frozenset((n, m)) for n, near in zip(pdf[node], pdf["_near"], strict=True) if near is not None for m in near}
-        groups: list[list] = []
-        for n in sorted(pdf[node]):
-            for g in groups:
-                if all(frozenset((n, m)) in allowed for m in g):
-                    g.append(n)
-                    break
-            else:
-                groups.append([n])
-        rows = [(pdf[block].iloc[0], n, i) for i, g in enumerate(groups, 1) for n in g]
-        return pd.DataFrame(rows, columns=[block, node, "group"])
-
-    both = pairs.select(block, F.col("a").alias(node), F.col("b").alias("_b")).union(pairs.select(block, F.col("b"), F.col("a")))
-    near = both.groupBy(block, node).agg(F.collect_set("_b").alias("_near"))
-    packed = nodes.select(block, node).distinct().join(near, [block, node], "left")
     kinds = dict(nodes.dtypes)
-    return packed.select(block, node, "_near").groupBy(block).applyInPandas(link, f"{block} {kinds[block]}, {node} {kinds[node]}, group int")
+    packed = (
+        nodes.groupBy(block).agg(F.collect_set(node).alias("_nodes"))
+        .join(pairs.groupBy(block).agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b")), block, "left")
+    )
+
+    def link(batches):
+        for batch in batches:
+            sizes, at, out = [], [], []
+            nodes_, a, b = (batch.column(c).to_pylist() for c in ("_nodes", "_a", "_b"))
+            for i, own in enumerate(nodes_):
+                near: dict = {}
+                for x, y in zip(a[i] or (), b[i] or (), strict=True):
+                    near.setdefault(x, set()).add(y)
+                    near.setdefault(y, set()).add(x)
+                groups: list[list] = []
+                for n in sorted(own):
+                    mine = near.get(n, ())
+                    k = next((k for k, g in enumerate(groups) if all(m in mine for m in g)), len(groups))
+                    groups[k:] = [[*groups[k], n], *groups[k + 1 :]] if k < len(groups) else [[n]]
+                    at.append(n)
+                    out.append(k + 1)
+                sizes.append(len(own))
+            which = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int64())
+            kind = batch.schema.field("_nodes").type.value_type
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), pa.array(at, kind), pa.array(out, pa.int32())], names=[block, node, "group"])
+
+    return packed.select(block, "_nodes", "_a", "_b").mapInArrow(link, f"{block} {kinds[block]}, {node} {kinds[node]}, group int")
 
 
 def bind_all(labels: DataFrame, aliases: DataFrame, key: str, label: str, owner: str) -> DataFrame:

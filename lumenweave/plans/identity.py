@@ -102,7 +102,8 @@ def role_overlay(t):
 @query("gr03_complete_link")
 def complete_link(t):
     """Line items of an order whose quantities lie close, grouped so that all members do."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    # All that follows is by order, so rows are dealt once.
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     other = lines.select("l_orderkey", F.col("l_linenumber").alias("b"), F.col("q").alias("p"))
     near = lines.join(other, "l_orderkey").filter("l_linenumber < b AND abs(q - p) <= 10").select("l_orderkey", F.col("l_linenumber").alias("a"), "b")
     return identity.complete_link(near, lines, "l_orderkey", "l_linenumber")
