@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,22 +112,30 @@ def perfect_matching(edges: DataFrame, group: str, sizes: DataFrame) -> DataFram
     time: a group is one field's few conflicting candidates.
     """
 
-    def kuhn(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = pdf.dropna(subset=["left", "right"]).groupby("left")["right"].apply(list).to_dict()
-        taken: dict = {}
-
-        def place(x, tried) -> bool:
-            for y in near.get(x, []):
-                if y not in tried:
-                    tried.add(y)
-                    if y not in taken or place(taken[y], tried):
-                        taken[y] = x
-                        return True
-            return False
-
-        n, m = int(pdf["n_left"].iloc[0]), int(pdf["n_right"].iloc[0])
-        paired = sum(place(x, set()) for x in sorted(near))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "paired": [paired], "perfect": [n == m == paired]})
-
-    kind = dict(sizes.dtypes)[group]
-    return sizes.join(edges, group, "left").groupBy(group).applyInPandas(kuhn, f"{group} {kind}, paired long, perfect boolean")
+    def kuhn(batches):
+        for batch in batches:
+            paired = []
+            for left, right in zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist(), strict=True):
+                near: dict = {}
+                for x, y in zip(left or (), right or (), strict=True):
+                    near.setdefault(x, []).append(y)
+                taken: dict = {}
+
+                def place(x, tried, near=near, taken=taken) -> bool:
+                    for y in near[x]:
+                        if y not in tried:
+                            tried.add(y)
+                            if y not in taken or place(taken[y], tried):
+                                taken[y] = x
+                                return True
+                    return False
+
+                paired.append(sum(place(x, set()) for x in sorted(near)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paired, pa.int64()), batch.column("n_left"), batch.column("n_right")], names=[group, "paired", "n_left", "n_right"])
+
+    kind = dict(sizes.dtypes)
+    # A row a group, many in a batch: with a call for each group the calls would cost the most.
+    whole = edges.filter("left IS NOT NULL AND right IS NOT NULL").groupBy(group).agg(F.collect_list("left").alias("_left"), F.collect_list("right").alias("_right"))
+    met = sizes.select(group, "n_left", "n_right").join(whole, group, "left")
+    done = met.mapInArrow(kuhn, f"{group} {kind[group]}, paired long, n_left {kind['n_left']}, n_right {kind['n_right']}")
+    return done.select(group, "paired", ((F.col("n_left") == F.col("n_right")) & (F.col("n_left") == F.col("paired"))).alias("perfect"))
