@@ -74,20 +74,25 @@ def header_grid(rows: Column) -> Column:
         width = F.coalesce(F.array_max(F.flatten(F.transform(acc["grid"], lambda r: F.transform(r, lambda c: c["col"])))), F.lit(-1))
         at = lambda r, c: F.coalesce(F.get(F.transform(F.filter(r, lambda x: x["col"] == c), lambda x: x["cell"]), 0), F.lit(""))
         columns = F.when(width >= 0, F.sequence(F.lit(0), width)).otherwise(F.array().cast("array<int>"))
-        return F.transform(acc["grid"], lambda r: F.transform(columns, lambda c: at(r, c)))
+        return _let(columns, lambda known: F.transform(acc["grid"], lambda r: F.transform(known, lambda c: at(r, c))))
 
     return F.aggregate(rows, start, row, squared)
 
 
 def header_paths(grid: Column) -> Column:
     """array<array<string>>: each column's texts from top to bottom, empty ones left out, one that goes on below once."""
-    width = F.coalesce(F.size(F.get(grid, 0)), F.lit(0))
 
-    def path(c: Column) -> Column:
-        texts = F.filter(F.transform(grid, lambda r: F.get(r, c)), lambda x: F.coalesce(x, F.lit("")) != "")
-        return _let(texts, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.coalesce(F.get(t, i - 1), F.lit("")))))
+    def of(grid: Column) -> Column:
+        width = F.coalesce(F.size(F.get(grid, 0)), F.lit(0))
 
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), path)).otherwise(F.array().cast("array<array<string>>"))
+        def path(c: Column) -> Column:
+            texts = F.filter(F.transform(grid, lambda r: F.get(r, c)), lambda x: F.coalesce(x, F.lit("")) != "")
+            return _let(texts, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.coalesce(F.get(t, i - 1), F.lit("")))))
+
+        return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), path)).otherwise(F.array().cast("array<array<string>>"))
+
+    # Worked out once: as an expression, the grid would be made again for each column.
+    return _let(grid, of)
 
 
 def _dashes(cell: Column) -> Column:

@@ -18,7 +18,10 @@ def _header(t):
     top = F.concat(F.lit("<tr>"), cell("th", F.lit("Outcome"), F.lit("2")), cell("th", F.col("p_brand"), cols=span), cell("td", F.lit("Sham"), cols=F.lit(2)), cell("th", F.lit("P"), F.lit("2")), F.lit("</tr>"))
     names = F.transform(F.sequence(F.lit(1), span), lambda i: F.concat(F.lit("<td>"), F.get(F.array(*map(F.lit, ("n", "Mean (SD)", "95% CI", "Change"))), (i - 1).cast("int")), F.lit("</td>")))
     below = F.concat(F.lit("<tr>"), F.array_join(names, ""), F.lit("<td>Mean (SD)</td><td>n</td></tr>"))
-    return t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice", span.cast("int").alias("k"), F.array(topology.cell_specs(top), topology.cell_specs(below)).alias("rows"))
+    # Spread first, and by a number, which is not put together again: a small file is one task, and what is made of it is not small.
+    part = t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    part = part.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return part.select("p_partkey", "p_brand", "p_size", "p_retailprice", span.cast("int").alias("k"), F.array(topology.cell_specs(top), topology.cell_specs(below)).alias("rows"))
 
 
 @query("wn10_pf15_header_paths", f"""WITH {WIDE} SELECT p_partkey, col, CASE WHEN col = 0 THEN 'Outcome' WHEN col = k + 3 THEN 'P' WHEN col <= k THEN arm || ' > ' || ['n', 'Mean (SD)', '95% CI', 'Change'][col] WHEN col = k + 1 THEN 'Sham > Mean (SD)' ELSE 'Sham > n' END AS path FROM c""")

@@ -1,7 +1,9 @@
 """Queries whose cost must grow with their rows: how their plans and expressions do the work."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lumenweave.operators import grids
 from lumenweave.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,17 @@ def test_small_groups_are_looped_over_in_batches(spark, name):
     """A call of Python for each order takes longer than the order."""
     found = plan(QUERIES[name](spark, SF))
     assert "MapInArrow" in found and "FlatMapGroups" not in found
+
+
+@pytest.mark.parametrize("name", ["wn10_pf15_header_paths", "nm11_column_values"])
+def test_parts_are_spread_before_their_headers_are_read(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
+
+
+def test_a_grid_is_made_once_for_all_its_columns(spark):
+    """As often as it stands in the expression, and more often within a function, it would be worked out."""
+    grid = F.transform(F.col("g"), lambda r: F.transform(r, lambda x: F.concat(F.lit("made "), x)))
+    rows = spark.createDataFrame([([["a", "b", "b"], ["a", "", "c"]],)], "g array<array<string>>").select(grids.header_paths(grid).alias("p"))
+    assert rows.first()["p"] == [["made a"], ["made b", "made "], ["made b", "made c"]]
+    analyzed = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert analyzed.count("made ") == 1
