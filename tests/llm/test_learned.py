@@ -219,3 +219,12 @@ def test_language_against_brute_force(spark, small_docs, edge_docs):
     for r in language.identify(some, prototypes).collect():
         lang, score = brute_language(r.text, prototypes)
         assert r.lang_pred == lang and abs(r.lang_score - score) < 1e-4
+
+
+def test_few_labels_still_rank_held_out_documents(spark):
+    """The smallest tables have six toxic documents to learn from: too few for a gain that large samples reach."""
+    sf = "/root/testdata/sf0.001"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    found = [(r.score, toxic[r.doc_id]) for r in queries.QUERIES["op2_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    ones, others = [s for s, t in found if t], [s for s, t in found if not t]
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in others) > 0.5 * len(ones) * len(others)
