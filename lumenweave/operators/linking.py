@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.operators import graph
+from lumenweave.shared import written
 
 
 def _keyed(rows: DataFrame, exact: list[str], loose: list[str], left: bool) -> DataFrame:
@@ -41,12 +42,12 @@ def candidates(left: DataFrame, right: DataFrame, exact: list[str], loose: list[
 def both_ways(left: DataFrame, right: DataFrame, exact: list[str], loose: list[str]) -> tuple[DataFrame, DataFrame]:
     """Candidates of either side, with ``unique``: this row and its partner have no other."""
     of_left, of_right = candidates(left, right, exact, loose), candidates(right, left, exact, loose, flip=True)
+    return _marked(of_left, of_right), _marked(of_right, of_left)
 
-    def marked(one: DataFrame, two: DataFrame) -> DataFrame:
-        alone = two.filter("degree = 1").select(F.col("id").alias("partner"), F.lit(True).alias("back"))
-        return one.join(alone, "partner", "left").select("id", "degree", "partner", ((F.col("degree") == 1) & F.coalesce("back", F.lit(False))).alias("unique"))
 
-    return marked(of_left, of_right), marked(of_right, of_left)
+def _marked(one: DataFrame, two: DataFrame) -> DataFrame:
+    alone = two.filter("degree = 1").select(F.col("id").alias("partner"), F.lit(True).alias("back"))
+    return one.join(alone, "partner", "left").select("id", "degree", "partner", ((F.col("degree") == 1) & F.coalesce("back", F.lit(False))).alias("unique"))
 
 
 def alias_groups(rows: DataFrame, hints: DataFrame) -> DataFrame:
@@ -104,8 +105,9 @@ def link_results(gold: DataFrame, pred: DataFrame) -> DataFrame:
     dimensions must agree or, for the last three of them, be unknown on a side.  Unknown timepoints or statistics and
     blockers make a candidate unsafe: it is never accepted, and its rivals are not either.
     """
-    sides = dict(zip(("reference", "prediction"), both_ways(gold, pred, list(EXACT), list(LOOSE)), strict=True))
+    gold, pred = written(gold, "gold"), written(pred, "pred")
     own = {"reference": gold, "prediction": pred}
+    sides, narrowed = _looked_up(gold, pred)
     out = None
     for side, other in (("reference", "prediction"), ("prediction", "reference")):
         theirs = own[other].select(F.col("id").alias("partner"), *[F.col(c).alias(f"o_{c}") for c in ("timepoint", "statistic_kind", "blocker")])
@@ -120,7 +122,7 @@ def link_results(gold: DataFrame, pred: DataFrame) -> DataFrame:
             .when(~known("statistic_kind"), "STATISTIC_KIND_AMBIGUOUS").otherwise("ANALYSIS_SET_AMBIGUOUS")
         )
         told = rows.select("id", accepted.alias("accepted"), F.col("degree").isNotNull().alias("some"), "partner", "parent", "outcome", open_reason.alias("open_reason"))
-        told = told.join(_narrowed(own[side], own[other], side), "id", "left")
+        told = told.join(narrowed[side], "id", "left")
         if side == "prediction":
             unmapped = F.when(F.col("parent").isNull(), "MISSING_PARENT").when(F.col("outcome").isNull(), "OUTCOME_AMBIGUOUS")
         else:
@@ -135,6 +137,49 @@ def link_results(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return out
 
 
+#: Pairs of results of one parent up to which they are looked at one by one; of more, rows are counted by their values.
+PAIRS = 256
+
+
+def _looked_up(gold: DataFrame, pred: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """By side: (id, degree, partner, unique) of the rows with candidates, and (id, reason) of all.
+
+    Most parents have few results, and one join of those answers for all dimensions at once.
+    """
+    keys, names = ["kind", "parent"], ("reference", "prediction")
+    counted = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    large = written(counted(gold, "n").join(counted(pred, "m"), keys).filter(F.col("n") * F.col("m") > PAIRS).select(*keys), "large-parents")
+    some = not large.isEmpty()
+    few = [df.join(large, keys, "left_anti") if some else df for df in (gold, pred)]
+
+    seen = [d for d, *_ in NARROWING if d not in keys]
+    other = few[1].select(*keys, F.col("id").alias("o_id"), *[F.col(d).alias(f"o_{d}") for d in seen])
+    test = lambda d: F.col(d) == F.col(f"o_{d}") if d in EXACT else F.coalesce(F.col(d) == F.col(f"o_{d}"), F.lit(True))
+    agree, tests = F.lit(True), []
+    for d, *_ in NARROWING:
+        agree = agree if d in keys else agree & F.coalesce(test(d), F.lit(False))
+        tests.append(agree)
+    met = few[0].join(other, keys).select("id", "o_id", *[x.alias(f"ok{k}") for k, x in enumerate(tests)])
+    last = f"ok{len(tests) - 1}"
+    met = written(met, "pairs")
+    degrees, reasons = [], []
+    for which, (own, theirs) in enumerate((("id", "o_id"), ("o_id", "id"))):
+        found = met.groupBy(F.col(own).alias("id")).agg(
+            F.count_if(last).alias("degree"), F.min(F.when(F.col(last), F.col(theirs))).alias("partner"), *[F.bool_or(f"ok{k}").alias(f"some{k}") for k in range(len(tests))]
+        )
+        degrees.append(found.filter("degree > 0").select("id", "degree", "partner"))
+        reason: Column = F.lit(None).cast("string")
+        for k in range(len(tests) - 1, -1, -1):
+            reason = F.when(~F.coalesce(f"some{k}", F.lit(False)), NARROWING[k][1 + which]).otherwise(reason)
+        reasons.append(few[which].select("id").join(found, "id", "left").select("id", reason.alias("reason")))
+    if some:
+        many = [df.join(large, keys, "left_semi") for df in (gold, pred)]
+        more = candidates(*many, list(EXACT), list(LOOSE)), candidates(*many[::-1], list(EXACT), list(LOOSE), flip=True)
+        degrees = [a.unionByName(b) for a, b in zip(degrees, more, strict=True)]
+        reasons = [a.unionByName(_narrowed(many[w], many[1 - w], names[w])) for w, a in enumerate(reasons)]
+    return dict(zip(names, (_marked(*degrees), _marked(*degrees[::-1])), strict=True)), dict(zip(names, reasons, strict=True))
+
+
 def _narrowed(rows: DataFrame, others: DataFrame, side: str) -> DataFrame:
     """(id, reason): the first dimension that leaves a row without candidates, if one does."""
     left = rows.select("id")

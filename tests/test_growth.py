@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import grids
+from lumenweave.operators import grids, linking
 from lumenweave.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,13 @@ def test_a_grid_is_made_once_for_all_its_columns(spark):
     assert rows.first()["p"] == [["made a"], ["made b", "made "], ["made b", "made c"]]
     analyzed = rows._jdf.queryExecution().optimizedPlan().toString()
     assert analyzed.count("made ") == 1
+
+
+def test_results_of_few_are_not_multiplied_by_patterns(spark, monkeypatch):
+    """Orders have few lines: no row is exploded; by pairs and by counts the results are the same."""
+    found = QUERIES["jn07_seven_dimensions"](spark, SF)
+    assert "Generate explode" not in plan(found)
+    by_pairs = set(found.collect())
+    for pairs in (0, 4):
+        monkeypatch.setattr(linking, "PAIRS", pairs)
+        assert set(QUERIES["jn07_seven_dimensions"](spark, SF).collect()) == by_pairs
