@@ -57,7 +57,10 @@ def payload_records(t):
     second = F.concat(F.lit('{"sourceIndex": '), (F.col("c_custkey") * 10 + 1).cast("string"), F.lit(', "normalizedOutcomeName": "", "goldRowIds": '), nation, F.lit("}"))
     list_ = F.concat(F.lit("["), first, F.lit(', "text", {"index": "none"}, '), second, F.lit("]"))
     raw = F.when(F.col("c_custkey") % 5 == 4, '{"records": {"index": 1}}').otherwise(F.concat(pick("c_custkey", '{"records": ', '{"outcomes": '), list_, F.lit("}")))
-    rows = t.customer.select("c_custkey", F.posexplode(responses.records(raw)).alias("record", "r"))
+    # Spread by a number, which is not put together again: a small file is one task, and reading its answers is slow.
+    customers = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    customers = customers.repartition(int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    rows = customers.select("c_custkey", F.posexplode(responses.records(raw)).alias("record", "r"))
     return rows.select("c_custkey", "record", "r.source_index", "r.normalized_outcome_name", F.col("r.normalized_measurement_instrument").alias("instrument"), "r.annotation_status", F.array_join("r.gold_row_ids", ",").alias("gold_row_ids"))
 
 

@@ -20,8 +20,8 @@ def test_small_groups_are_looped_over_in_batches(spark, name):
     assert "MapInArrow" in found and "FlatMapGroups" not in found
 
 
-@pytest.mark.parametrize("name", ["wn10_pf15_header_paths", "nm11_column_values"])
-def test_parts_are_spread_before_their_headers_are_read(spark, name):
+@pytest.mark.parametrize("name", ["wn10_pf15_header_paths", "nm11_column_values", "aj10_payload_records"])
+def test_rows_of_small_files_are_spread_before_slow_work(spark, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
 
 
