@@ -47,6 +47,34 @@ def test_a_low_least_score_is_refused(spark):
     assert titles.lookup(none, none).count() == 0
 
 
+def test_prose_is_compared_exactly_where_it_may_be_among_the_best_only(monkeypatch):
+    dice = random.Random(4)
+    syllables = ["th", "an", "in", "er", "ion", "ha", "re", "ou", "st", "ent", "the ", "and ", "of ", "ü"]
+    known = sorted({"".join(dice.choice(syllables) for _ in range(dice.randrange(2, 40))).strip() for _ in range(600)} | {"x", "ab"} | {f"{'inthe an' * 8}{c}" for c in "abcdefgh"})
+    wanted = sorted({t[:9] + t[10:11] + t[9:10] + t[12:] for t in known[::12]} | {"x", "inthe an" * 8})
+    every = {a: sorted(((SequenceMatcher(None, a, b, autojunk=False).ratio(), b) for b in known), reverse=True) for a in wanted}
+    counts, columns = {}, {}
+    for b in known:
+        for at in range(len(b) - 1):
+            counts[b[at : at + 2]] = counts.get(b[at : at + 2], 0) + 1
+    columns = {f"{p}0": n for n, p in enumerate(sorted(counts, key=counts.get)[-100:])}
+    calls = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(titles, "SequenceMatcher", Counted)
+    got = {}
+    for a, b, score in titles.compared(wanted, known, [1] * len(known), columns, 0.88, 3):
+        got.setdefault(a, []).append((score, b))
+    for a in wanted:
+        third = max(0.88, every[a][2][0])
+        assert sorted(got.get(a, []), reverse=True) == [x for x in every[a] if x[0] >= third], a
+    assert len(calls) < 5 * len(wanted)
+
+
 def test_phrases(spark):
     rows = spark.createDataFrame([("VAS score (rest), mm", "Table 3 and Fig. 4; figure  5"), ("Pain", None), ("Mean age – years", "table12"), (None, "none")], "label string, caption string")
     got = rows.select(narratives.row_phrase(F.col("label")).alias("p"), narratives.caption_phrases(F.col("caption")).alias("c")).collect()
