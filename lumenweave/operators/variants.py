@@ -1,23 +1,19 @@
-"""Nested JSON of any depth as rows, by Spark's variant type."""
+"""Nested JSON of any depth as rows, read as Spark's variant type reads it."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from lumenweave.shared import drop_path, written
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 #: A list under this key is counted, not walked into.
 COUNTED = "evidence"
-
-
-def _items(value: Column) -> Column:
-    """A list's elements; null for anything else."""
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
-def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+#: Texts whose leaves are handed back together.
+AT_ONCE = 256
 
 
 def first_present(value: Column, *names: str) -> Column:
@@ -30,6 +26,67 @@ def first_present(value: Column, *names: str) -> Column:
     return F.coalesce(*found).cast("string")
 
 
+class _Number(str):
+    """A number that is not whole, as it is written."""
+
+
+_PLAIN_TEXT = re.compile(r"[ !#-\[\]-~]*").fullmatch
+_READ = json.JSONDecoder(parse_float=_Number)
+_LONG = 10**18
+_SCALARS = {None: "null", True: "true", False: "false"}
+
+
+def _element(x) -> tuple[str, bool]:
+    """A scalar of a list in JSON, and whether Spark would write it otherwise."""
+    kind = type(x)
+    if kind is int:
+        return str(x), not -_LONG < x < _LONG
+    if kind is str:
+        return (f'"{x}"', False) if _PLAIN_TEXT(x) else (json.dumps(x), True)
+    return (x, True) if kind is _Number else (_SCALARS[x], False)
+
+
+def leaves(text: str) -> list[tuple[str, str, str | None, bool]]:
+    """(path, kind, value, again) of a readable text; with ``again`` the value is JSON that Spark has to write."""
+    out, open_ = [], [("", "", _READ.raw_decode(text.lstrip(" \t\n\r"))[0])]
+    add, later = out.append, open_.append
+    while open_:
+        path, key, v = open_.pop()
+        kind = type(v)
+        if kind is dict:
+            stem = path + "." if path else ""
+            for k, x in v.items():
+                of = type(x)
+                if of is dict or of is list:
+                    later((stem + k, k, x))
+                elif of is str:
+                    add((stem + k, "value", x, False))
+                elif x is None:
+                    add((stem + k, "value", None, False))
+                else:
+                    add((stem + k, "value", *_element(x)))
+        elif kind is list:
+            kinds = set(map(type, v))
+            if key == COUNTED:
+                add((path, "evidence", str(len(v)), False))
+            elif dict in kinds or list in kinds:
+                open_ += [(f"{path}[{i}]", "", x) for i, x in enumerate(v)]
+            else:
+                parts = [_element(x) for x in v]
+                add((path, "list", f"[{','.join([x for x, _ in parts])}]", any([odd for _, odd in parts])))
+        else:
+            add((path, "value", v, False) if kind is str or v is None else (path, "value", *_element(v)))
+    return out
+
+
+def _texts(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        # Half of a pair of surrogates, which Spark replaces too.
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
 def flatten(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
     """(keys, path, kind, value): a row for each leaf of a JSON text.
 
@@ -37,37 +94,28 @@ def flatten(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
     objects or lists in it, kept as JSON; evidence for a list under the key ``evidence``, whose length is the value;
     unreadable for a text that is no JSON or has a key twice.  Empty objects and null texts have no leaves.
 
-    The objects of a level are taken apart together and written out; the walk ends when a level has no object left,
-    so the number of passes is the depth of the deepest text.
+    What can be read and how values are written is Spark's variant's matter; a text is walked through at once, in one
+    pass over the rows that writes nothing out.
     """
-    spark = rows.sparkSession
-    start = rows.filter(F.col(json).isNotNull()).select(*keys, F.lit("").alias("path"), F.lit("").alias("key"), F.try_parse_json(F.col(json)).alias("v"))
-    frontier, out = written(start, "frontier"), None
-    while True:
-        told = _told(frontier)
-        leaves = told.filter("kind IN ('value', 'list', 'evidence', 'unreadable')").select(*keys, "path", "kind", "value")
-        done = written(leaves, "leaves")
-        out = done if out is None else out.unionByName(done)
-        inner = told.filter("kind IN ('object', 'nested')")
-        if inner.isEmpty():
-            return out
-        of_objects = inner.filter("kind = 'object'").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child"))
-        stem = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
-        fields = of_objects.select(*keys, F.concat(stem, "name").alias("path"), F.col("name").alias("key"), F.col("child").alias("v"))
-        items = inner.filter("kind = 'nested'").select(*keys, "path", F.posexplode("items").alias("pos", "child"))
-        items = items.select(*keys, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), F.lit("").alias("key"), F.col("child").alias("v"))
-        again = written(fields.unionByName(items), "frontier")
-        drop_path(spark, frontier)
-        frontier = again
-
-
-def _told(frontier: DataFrame) -> DataFrame:
-    """``frontier`` with what each value is."""
-    seen = frontier.select("*", _items(F.col("v")).alias("items"))
-    nested = F.exists("items", lambda x: _is_object(x) | _items(x).isNotNull())
-    kind = (
-        F.when(F.col("v").isNull(), "unreadable").when(F.col("items").isNotNull() & (F.col("key") == COUNTED), "evidence").when(nested, "nested")
-        .when(F.col("items").isNotNull(), "list").when(_is_object(F.col("v")), "object").otherwise("value")
-    )
-    value = F.when(F.col("kind") == "evidence", F.size("items").cast("string")).when(F.col("kind") == "list", F.to_json("v")).when(F.col("kind") == "value", F.col("v").cast("string"))
-    return seen.select("*", kind.alias("kind")).select("*", value.alias("value"))
+    given = rows.filter(F.col(json).isNotNull()).select(*keys, F.when(F.try_parse_json(F.col(json)).isNotNull(), F.col(json)).alias("_text"))
+    schema = StructType([*given.select(*keys).schema.fields, *(StructField(c, StringType()) for c in ("path", "kind", "value")), StructField("_again", BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.select(keys)
+            texts = batch.column(len(keys)).to_pylist()
+            for start in range(0, len(texts), AT_ONCE):
+                at, found = [], []
+                for n, text in enumerate(texts[start : start + AT_ONCE], start):
+                    some = [("", "unreadable", None, False)] if text is None else leaves(text)
+                    found += some
+                    at += [n] * len(some)
+                if found:
+                    path, kind, value, again = zip(*found, strict=True)
+                    held = ids.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*held.columns, _texts(path), pa.array(kind, pa.string()), _texts(value), pa.array(again, pa.bool_())], names=[f.name for f in schema.fields])
+
+    each = given.mapInArrow(run, schema)
+    parsed = F.parse_json(F.when(F.col("_again"), F.col("value")))
+    written_again = F.when(F.col("kind") == "list", F.to_json(parsed)).otherwise(parsed.cast("string"))
+    return each.select(*keys, "path", "kind", F.when(F.col("_again"), written_again).otherwise(F.col("value")).alias("value"))

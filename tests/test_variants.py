@@ -1,12 +1,14 @@
 """Nested JSON as rows against a plain recursion."""
 
 import json
+from pathlib import Path
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenweave.operators import variants
+from lumenweave.shared import shared_dir
 
 
 def walk(value, path="", key=""):
@@ -53,3 +55,17 @@ def test_first_present(spark):
     rows = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(cases)], "id long, j string")
     got = rows.select("id", variants.first_present(F.parse_json("j"), "a", "b", "o'c").alias("v")).orderBy("id").collect()
     assert [r.v for r in got] == [v for _, v in cases]
+
+
+def test_flatten_is_one_pass_and_writes_values_as_variants_do(spark):
+    before = {f.name for f in Path(shared_dir(spark).removeprefix("file://")).glob("lumenweave-*")}
+    odd = ['{"a": 1.50, "b": 1e3, "c": -0, "d": 123456789012345678901234567890, "e": 0.0001, "f": 1E-7, "g": 12345678901234567890.123}', '[1.50, "\\u0001", "ü\\"/\\\\", -0, 1e3, null, true]', '"\\ud800x"', '["\\ud800x"]', ' \n{"a": 1} {"b"', '{"a": {"": [], "x.y": {}, "evidence": {"evidence": 1}}}', '[[], [[]], {"evidence": [[1]]}]', "[" * 300 + "]" * 300, "nul", "", "null", "true"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, j string")
+    got = sorted(tuple(r) for r in variants.flatten(rows, ["id"], "j").collect() if r.id != 7)
+    scalar = lambda x: spark.sql("SELECT CAST(parse_json(:x) AS string) AS v", {"x": x}).first()["v"]
+    want = [(0, k, "value", scalar(v)) for k, v in [("a", "1.50"), ("b", "1e3"), ("c", "-0"), ("d", "123456789012345678901234567890"), ("e", "0.0001"), ("f", "1E-7"), ("g", "12345678901234567890.123")]]
+    want += [(1, "", "list", spark.sql("SELECT to_json(parse_json(:x)) AS v", {"x": odd[1]}).first()["v"]), (2, "", "value", "?x"), (3, "", "list", '["?x"]'), (4, "a", "value", "1")]
+    want += [(5, "a.", "list", "[]"), (5, "a.evidence.evidence", "value", "1"), (6, "[0]", "list", "[]"), (6, "[1][0]", "list", "[]"), (6, "[2].evidence", "evidence", "1")]
+    want += [(8, "", "unreadable", None), (9, "", "unreadable", None), (10, "", "value", None), (11, "", "value", "true")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {f.name for f in Path(shared_dir(spark).removeprefix("file://")).glob("lumenweave-*")} == before
