@@ -24,18 +24,24 @@ def first_words(shard: list[tuple[int, str]]) -> dict[int, str]:
 def sharded(rows: DataFrame, shard: str, row: str, content: str, extractor: Extractor = first_words) -> DataFrame:
     """(shard, row, output, mode, input_hash) of every row: mode is ``first``, ``retried`` or ``missing``."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = list(zip(pdf[row].tolist(), pdf[content].tolist(), strict=True))
-        got = extractor(asked)
-        mode = {i: "first" for i in got}
-        for i, x in asked:
-            if i not in got and (again := extractor([(i, x)])).get(i) is not None:
-                got[i], mode[i] = again[i], "retried"
-        return pd.DataFrame({shard: pdf[shard], row: pdf[row], "output": [got.get(i) for i, _ in asked], "mode": [mode.get(i, "missing") for i, _ in asked], "_x": pdf[content]})
-
-    kinds = dict(rows.dtypes)
-    out = rows.select(shard, row, content).groupBy(shard).applyInPandas(run, f"{shard} {kinds[shard]}, {row} {kinds[row]}, output string, mode string, _x string")
-    return out.withColumn("input_hash", F.sha2("_x", 256)).drop("_x")
+    @F.pandas_udf("output array<string>, mode array<string>")
+    def run(ids: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for one, texts in zip(ids, contents, strict=True):
+            asked = list(zip(one.tolist(), texts.tolist(), strict=True))
+            got = dict(extractor(asked))
+            mode = dict.fromkeys(got, "first")
+            for i, x in asked:
+                if i not in got and (again := extractor([(i, x)])).get(i) is not None:
+                    got[i], mode[i] = again[i], "retried"
+            out.append(([got.get(i) for i, _ in asked], [mode.get(i, "missing") for i, _ in asked]))
+        return pd.DataFrame(out, columns=["output", "mode"])
+
+    # A shard is a row, so that many share a batch; contents do not come back from Python.
+    held = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("i"), F.col(content).alias("x")))).alias("_asked"))
+    done = held.select(shard, "_asked", run(F.col("_asked.i"), F.col("_asked.x")).alias("_got"))
+    each = done.select(shard, F.explode(F.arrays_zip("_asked", F.col("_got.output").alias("output"), F.col("_got.mode").alias("mode"))).alias("r"))
+    return each.select(shard, F.col("r._asked.i").alias(row), "r.output", "r.mode", F.sha2("r._asked.x", 256).alias("input_hash"))
 
 
 def planned(rows: DataFrame, cache: DataFrame, content: str) -> DataFrame:

@@ -97,6 +97,14 @@ def test_extraction_retries_and_cache(spark):
     assert extraction.planned(rows, got, "x").count() == 0 and extraction.planned(rows, never, "x").count() == 3
 
 
+def test_shards_share_batches(spark):
+    rows = spark.createDataFrame([(d, r, f"{d} {r} words") for d in range(300) for r in range(3)] + [(None, 0, "x"), (7, 9, "y" * 500)], "d long, r int, x string").repartition(3)
+    done = extraction.sharded(rows, "d", "r", "x")
+    assert "FlatMapGroups" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {(r.d, r.r): (r.output, r.mode) for r in done.collect()}
+    assert len(got) == 902 and got[299, 2] == ("299 2 words", "first") and got[None, 0] == ("x", "first") and got[7, 9] == ("y" * 500, "retried")
+
+
 def test_dense_numbers(spark):
     out = numbering.dense_numbers(spark.range(5000).select((F.col("id") * 37 % 5003).alias("k")), "n", "k").orderBy("k").collect()
     assert [r.n for r in out] == list(range(1, 5001))
