@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,4 +168,5 @@ def keyword_window(c: Column, words: Iterable[str], radius: int) -> Column:
 @F.pandas_udf(StringType())
 def nfkc_casefold(values: pd.Series) -> pd.Series:
     """NFKC, case folding and collapsed white space; Spark has no built-in for the first two."""
-    return values.str.normalize("NFKC").str.casefold().str.split().str.join(" ")
+    # One text at a time: forms of a whole batch would lie in memory beside each other.
+    return values.map(lambda x: " ".join(normalize("NFKC", x).casefold().split()), na_action="ignore")

@@ -1,5 +1,9 @@
 """Scalars against the cases that the reference's contracts name."""
 
+import sys
+import tracemalloc
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +73,14 @@ def test_canonical_json(spark):
     got = value(spark, ids.canonical_json(b=F.lit(1), a=F.lit('x"é'), c=F.lit(None).cast("int")))
     assert got == '{"a":"x\\"é","b":1,"c":null}'
     assert value(spark, ids.redact(F.lit("key=abcd abc"), ["abc", "abcd"])) == "key=[redacted] [redacted]"
+
+
+def test_folding_holds_one_text_at_a_time():
+    words = " ".join(f"Wörd{i}ﬁ" for i in range(2000))
+    texts = pd.Series([f"{words} {i}" for i in range(200)] + [None])
+    tracemalloc.start()
+    got = text.nfkc_casefold.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[3] == f"{words} 3".lower().replace("ﬁ", "fi") and got[200] is None
+    assert peak < 2.5 * sum(map(sys.getsizeof, texts))
