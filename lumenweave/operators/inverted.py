@@ -66,6 +66,14 @@ def _frontier(block: Column) -> Column:
     return F.aggregate(by_length, start, step, lambda a: a["held"])
 
 
+def _counted(words: Column) -> Column:
+    """(term, tf) of each different word, as an array: runs of the sorted words, so that counting shuffles nothing."""
+    opens = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    ends = lambda s, at: F.array_append(F.slice(at, F.lit(2), F.size(at)), F.size(s))
+    runs = lambda s, at: F.zip_with(at, ends(s, at), lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("tf")))
+    return F.flatten(F.transform(F.array(F.array_sort(words)), lambda s: F.flatten(F.transform(F.array(opens(s)), lambda at: runs(s, at)))))
+
+
 def append(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Add documents as a segment and return its number.  Null texts have no words; rows of a null id are not indexed.
 
@@ -76,8 +84,8 @@ def append(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     done = segments(spark, path)
     number = done[-1] + 1 if done else 0
     slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
-    words = slim.select("doc", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(EVERY))).alias("term"))
-    counts = written(words.groupBy("doc", "len", "term").agg(F.count("*").cast("int").alias("tf")), "term-counts")
+    words = slim.select("doc", F.size("w").alias("len"), F.explode(_counted(F.array_append("w", F.lit(EVERY)))).alias("t"))
+    counts = written(words.select("doc", "len", "t.term", "t.tf"), "term-counts")
     every = counts.filter(F.col("term") == EVERY)
     size = every.agg(F.sum("tf").alias("n"), F.countDistinct("doc").alias("ids"), F.sum("len").alias("words")).first()
     if (size["n"] or 0) > size["ids"]:
@@ -91,8 +99,9 @@ def append(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     frequent = max(SHARE, -(-counts.count() // 100_000))
     shared = per_term.filter(F.col("df") > frequent).select("term", F.ceil(F.col("df") / SHARE).alias("shares"))
     dealt = counts.join(F.broadcast(shared), "term", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("doc"), "shares"), F.lit(0).cast("long")))
-    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    ordered = dealt.groupBy("term", "share").agg(F.array_sort(F.collect_list(F.struct((-weight).alias("w"), "doc", "tf", "len"))).alias("p"))
+    weight = lambda x: x["tf"] / (x["tf"] + K1 * (1 - B + B * x["len"] / F.lit(mean)))
+    gathered = dealt.groupBy("term", "share").agg(F.collect_list(F.struct("doc", "tf", "len")).alias("p"))
+    ordered = gathered.select("term", "share", F.array_sort(F.transform("p", lambda x: F.struct((-weight(x)).alias("w"), x["doc"].alias("doc"), x["tf"].alias("tf"), x["len"].alias("len")))).alias("p"))
     cut = ordered.select("term", "share", "p", F.explode(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int"))).alias("block"))
     block = cut.select("term", "share", "block", F.transform(F.slice("p", F.col("block") * BLOCK + 1, F.lit(BLOCK)), lambda x: F.struct(x["doc"].alias("doc"), x["tf"].alias("tf"), x["len"].alias("len"))).alias("postings"))
     block = block.select("term", "share", "block", F.size("postings").alias("n"), _frontier(F.col("postings")).alias("frontier"), "postings", _bucket(F.col("term")).alias("bucket"))

@@ -1,5 +1,6 @@
 """The stored index: equal to a scan, buckets and blocks read, segments, refusals."""
 
+import collections
 import random
 
 import pytest
@@ -70,3 +71,11 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     inverted.append(spark.createDataFrame([], "doc_id long, text string"), path)
     assert inverted.search(spark, path, ["x"], 5).count() == 0 and inverted.vocabulary(spark, path).count() == 0
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    texts = [[], ["b"], ["b", "a", "b", "ü", "b"], ["x"] * 700 + ["a"], [f"w{i % 90}" for i in range(1000)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, w array<string>").select("id", inverted._counted(F.array_append("w", F.lit(""))).alias("t"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: [(t.term, t.tf) for t in r.t] for r in rows.collect()}
+    assert got == {i: sorted(collections.Counter([*w, ""]).items()) for i, w in enumerate(texts)}
