@@ -111,6 +111,7 @@ def html_tables_once(t):
     headed = F.concat(F.lit("<tr><th>Name</th><th> Size</th></tr><tr><td>"), "p_name", F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr>"))
     again = F.regexp_replace(F.regexp_replace(headed, "<td>", "<TD>"), "</td>", "</TD>")
     html = F.concat(table("table", headed), table("TABLE", F.upper(again)), table("table", F.concat(F.lit("<tr><td>"), "p_brand", F.lit("</td><td>x</td></tr>"))))
-    found = documents.html_tables(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html")
+    part = t.part.repartition(int(t.part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    found = documents.html_tables(part.select("p_partkey", html.alias("html")), "p_partkey", "html")
     rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
     return found.select("p_partkey", "table_id", F.coalesce(F.array_join("header", "|"), F.lit("")).alias("header"), rows.alias("rows"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import grids, linking
+from lumenweave.operators import documents, grids, linking
 from lumenweave.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,15 @@ def test_results_of_few_are_not_multiplied_by_patterns(spark, monkeypatch):
     for pairs in (0, 4):
         monkeypatch.setattr(linking, "PAIRS", pairs)
         assert set(QUERIES["jn07_seven_dimensions"](spark, SF).collect()) == by_pairs
+
+
+def test_tables_of_a_page_are_found_in_its_row(spark):
+    """No sort or window holds the tables of many pages in one task."""
+    found = plan(QUERIES["sc22_html_tables_once"](spark, SF))
+    assert "Window" not in found and "Sort " not in found and "REPARTITION_BY_NUM" in found
+    one = lambda *cells: "<table>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>"
+    pages = [(1, one("b") + one("a") + one("B") + one("a", "b") + one("A") + "<table></table>" + one() + one("c")), (2, "none"), (3, ""), (4, None), (5, one("a"))]
+    got = documents.html_tables(spark.createDataFrame(pages, "id int, html string").coalesce(1), "id", "html")
+    assert sorted((r.id, r.table_id, r.header, r.rows) for r in got.collect()) == [
+        (1, "table-1", None, [["b"]]), (1, "table-2", None, [["a"]]), (1, "table-3", None, [["a"], ["b"]]), (1, "table-4", None, []), (1, "table-5", None, [["c"]]), (5, "table-1", None, [["a"]]),
+    ]
