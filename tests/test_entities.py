@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweave.functions import responses
+from lumenweave.operators import entities
 from lumenweave.operators.entities import ENTITY, match_entities
 
 
@@ -66,6 +67,42 @@ def test_equal_names_make_no_product(spark):
     assert {r.status: r["count"] for r in got} == {"MATCHED": 1, "AMBIGUOUS": 600}
 
 
+def test_entities_of_one_name_are_judged_once(spark, monkeypatch):
+    """Neither the sides nor edges are written where no entity has two names: one table a level."""
+    names, written = [], entities.written
+    monkeypatch.setattr(entities, "written", lambda df, name: names.append(name) or written(df, name))
+    rows = exact("Article", "a"), exact("Study", "s", ("Article", "a")), arm("g", "one"), result("r", "g", "w4")
+    got = match_entities(side(spark, *rows), side(spark, *rows)).collect()
+    assert {(r.kind, r.status) for r in got} == {(k, "MATCHED") for k in ("Article", "Study", "Arm", "ArmResult")}
+    assert names == ["judged"] * len(entities.LEVELS)
+
+
+def odd_side(spark, x):
+    """Parents of any number and order, null ids, names, parents and times, a name by two methods."""
+    top = [exact("Article", "a"), exact("Study", "s", ("Article", "a")), exact("Study", "t", ("Article", "b")), exact("Study", None, ("Article", "a"))]
+    arms = [arm(f"{x}{i}", f"n{i}") for i in range(6)] + [arm(f"{x}6", "n6"), arm(None, "n1"), arm(f"{x}7", None)]
+    arms.append(("Arm", f"{x}8", [("Study", "s", None)], None, [("n8", "SEMANTIC_IDENTITY"), ("n8", "GOLD_ALIAS"), (None, "GOLD_ALIAS")]))
+    arms.append(("Arm", f"{x}9", [("Study", "s", None), ("Study", None, "LOST")], None, [("n9", "SEMANTIC_IDENTITY")]))
+    of = lambda id, order: ("Intervention", id, [("Study", "s", None), *[("Arm", f"{x}{i}", "UNBOUND") for i in order]], None, [("needle", "SEMANTIC_IDENTITY")])
+    order = [0, 1, 2, 3, 4] if x == "g" else [3, 1, 4, 0, 2]
+    return side(spark, *top, *arms, of("many", order), of("two", order[:2]), of("one", [0]), of("gone", [7]), of("none", []), result("r", f"{x}1", None), result("q", f"{x}1", ""), result("l", f"{x}7", "w"))
+
+
+@pytest.mark.parametrize("wide, few", [(4, 100), (0, 100), (2, -1), (9, -1)])
+def test_parents_are_found_by_any_join(spark, monkeypatch, wide, few):
+    monkeypatch.setattr(entities, "WIDE", wide)
+    monkeypatch.setattr(entities, "FEW", few)
+    got = {(r.kind, r.gold_id, r.pred_id): (r.status, r.method or r.reason) for r in match_entities(odd_side(spark, "g"), odd_side(spark, "p")).collect()}
+    assert {k: v for k, v in got.items() if v[0] == "MATCHED"} == {
+        ("Article", "a", "a"): ("MATCHED", "EXACT_ID"), ("Study", "s", "s"): ("MATCHED", "EXACT_ID"),
+        **{("Arm", f"g{i}", f"p{i}"): ("MATCHED", "SEMANTIC_IDENTITY") for i in (0, 1, 2, 3, 4, 5, 6, 8)},
+        ("Intervention", "many", "many"): ("MATCHED", "SEMANTIC_IDENTITY"), ("Intervention", "one", "one"): ("MATCHED", "SEMANTIC_IDENTITY"), ("Intervention", "none", "none"): ("MATCHED", "SEMANTIC_IDENTITY"),
+        ("ArmResult", "r", "r"): ("MATCHED", "COMPOSITE_IDENTITY"), ("ArmResult", "q", "q"): ("MATCHED", "COMPOSITE_IDENTITY"),
+    }
+    assert got["Intervention", None, "gone"] == ("EXTRA", "UNBOUND") and got["Arm", None, "p9"] == ("EXTRA", "LOST") and got["ArmResult", None, "l"] == ("EXTRA", "ARM_BINDING_UNRESOLVED")
+    assert got["Study", None, None] == ("EXTRA", "ENTITY_EXTRA") or got["Study", None, None] == ("MISSING", "ENTITY_MISSING")
+
+
 def test_no_entities(spark):
     assert match_entities(side(spark), side(spark)).count() == 0
 
